@@ -155,3 +155,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
 def digest64(raw: bytes) -> int:
     """A signed 64-bit digest."""
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def digest128(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
