@@ -160,16 +160,12 @@ def _deal_sets(buckets: int):
 
 
 def _postings(table: pa.Table) -> pa.Table:
-    """Shingles in two classes or more, with their frequency, as one row a class."""
+    """Shingles in two classes or more, with their frequency: a row for each class that has one."""
     token, node = _unpack(table, np.uint64)
     df = _frequency(token)
     keep = df > 1
     token, node, df = token[keep], node[keep], df[keep]
-    order = np.argsort(node, kind="stable")
-    token, node, df = token[order], node[order], df[order]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    off = pa.array(np.append(starts, len(node)).astype(np.int32))
-    return pa.table({"node": pa.array(node[starts], pa.int64()), "tokens": pa.ListArray.from_arrays(off, pa.array(token.view(np.int64))), "dfs": pa.ListArray.from_arrays(off, pa.array(df, pa.int64()))})
+    return pa.table({"node": pa.array(node, pa.int64()), "token": pa.array(token.view(np.int64)), "df": pa.array(df, pa.int64())})
 
 
 def size_class(n: int) -> int:
@@ -305,11 +301,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = runtime.cut(sets.join(runtime.small(alive.select(F.col("rep").alias("doc_id"), "node"), n_alive), ["doc_id", "node"]).select("node", "n", "hashes"))
 
     tokens = alive.agg(F.sum("n")).first()[0] or 0
-    buckets = max(2 * parts, tokens // (2 * BUCKET))
+    buckets = max(4 * parts, tokens // BUCKET)
     posted = sets.select("node", "hashes").mapInArrow(_deal_sets(buckets), "bucket long, tokens binary, nodes binary")
-    posted = posted.groupBy("bucket").applyInArrow(_postings, "node long, tokens array<long>, dfs array<long>")
-    posted = posted.groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    posted = posted.join(alive.select("node", "n"), "node").where(F.size("tokens") >= least).select("node", "n", "tokens", "dfs")
+    posted = posted.groupBy("bucket").applyInArrow(_postings, "node long, token long, df long")
+    posted = posted.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("p"))
+    posted = posted.join(alive.select("node", "n"), "node").where(F.size("p") >= least).select("node", "n", F.col("p.token").alias("tokens"), F.col("p.df").alias("dfs"))
     sigs = runtime.cut(posted.mapInArrow(_signatures, "sig long, node long"))
 
     hubs = sigs.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("sig", "b")
