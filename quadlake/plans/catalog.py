@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import text as X
 from quadlake.operators import graph, triples
+from quadlake.operators.naming import aliases
 from quadlake.plans.rules import Rule, derive
 from quadlake.sources import star
 from quadlake.sources.star import CALLS, DEFS, QUADS, table
@@ -226,12 +227,6 @@ def _paths(spark, sf):
     return table(spark, sf, "documents").select(F.concat("source", F.lit("/"), base).alias("path"), base.alias("base")).distinct()
 
 
-def aliases(paths: DataFrame) -> DataFrame:
-    """(path, base, alias): the first path of a file name keeps it, the i-th further one is stem(i).ext."""
-    i = F.row_number().over(Window.partitionBy("base").orderBy("path")) - 1
-    return paths.withColumn("i", i).select("path", "base", F.when(F.col("i") == 0, F.col("base")).otherwise(F.concat(X.stem(F.col("base")), F.lit("("), F.col("i").cast("string"), F.lit(")"), X.extension(F.col("base")))).alias("alias"))
-
-
 @query(f"WITH {_PATHS}, r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) - 1 AS i FROM p) SELECT path, base, CASE WHEN i = 0 THEN base ELSE replace(base, '.py', '') || '(' || i || ').py' END AS alias FROM r")
 def a01_file_aliases(spark, sf):
     return aliases(_paths(spark, sf))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import text as X
 from quadlake.operators import navigation
-from quadlake.plans.catalog import aliases, query
+from quadlake.operators.naming import aliases
+from quadlake.plans.catalog import query
 from quadlake.sources import python_code, star
 from quadlake.sources.star import CALLS, DEFS, QUADS, table
 
