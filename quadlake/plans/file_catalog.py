@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quadlake.functions import json_text
 from quadlake.functions import text as X
-from quadlake.operators import completion, file_order, graph, sentences
+from quadlake.operators import completion, evidence, file_order, graph, sentences
 from quadlake.operators.naming import aliases, sort_rank
 from quadlake.plans.catalog import _PATHS, _PRED, _paths, _predictions, query
 from quadlake.plans.code_catalog import _SHARD, _SRC, _sharded, sources
-from quadlake.sources import file_facts, shard_files, star
+from quadlake.sources import file_facts, python_code, shard_files, star
 from quadlake.sources.star import CALLS, DEFS, QUADS, table
 
 
@@ -274,3 +275,47 @@ def a08_symbol_labels(spark, sf):
     best = alone.groupBy("path").agg(F.min(F.struct(F.length("symbol").alias("n"), "symbol"))["symbol"].alias("symbol"))
     n = F.count("*").over(Window.partitionBy("base"))
     return p.withColumn("n", n).join(best, "path", "left").select("path", F.when((F.col("n") > 1) & F.col("symbol").isNotNull(), F.concat("base", F.lit(" ("), "symbol", F.lit(")"))).otherwise(F.col("base")).alias("label"))
+
+
+def _packet(spark, sf):
+    """Packets for one request a repository, seeded with its first file."""
+    files = _repositories(spark, sf)
+    facts, links = python_code.facts(files), python_code.code_graph(files)
+    requests = files.groupBy("repo").agg(F.min("path").alias("path")).select(F.col("repo").alias("request"), "repo", F.lit("p1").alias("query"), "path")
+    seeds = requests.select("request", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("name"))
+    requests = requests.drop("path")
+    hits = evidence.search(evidence.definitions(links), requests)
+    return evidence.packet(facts, links, files.select("repo", "path"), requests, seeds, hits)
+
+
+def v01_packet_edges(spark, sf):
+    """Edges of evidence packets; rows only, the tests work packets out by hand."""
+    return _packet(spark, sf)["edges"]
+
+
+def v04_packet_gaps(spark, sf):
+    """The gaps that prompts show; rows only, as above."""
+    return evidence.prompt_gaps(_packet(spark, sf)["gaps"])
+
+
+query()(v01_packet_edges)
+query()(v04_packet_gaps)
+
+
+@query("SELECT event_id, CASE WHEN n > 3 THEN 3 ELSE n END AS n_kept, n > 3 AS cut FROM (SELECT event_id, CAST(event_id % 9 AS BIGINT) AS n FROM events)")
+def k11_budget_trim(spark, sf):
+    """Lists of a view cut to three where its JSON is over the budget."""
+    n = (F.col("event_id") % 9).cast("int")
+    names = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("name_"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    view = json_text.within_budget(F.to_json(F.struct(names.alias("calls"))), 12)
+    e = table(spark, sf, "events").select("event_id", view.alias("v"))
+    kept = F.json_array_length(F.get_json_object("v", "$.calls")).cast("long")
+    return e.select("event_id", kept.alias("n_kept"), F.coalesce(F.get_json_object("v", "$.calls_truncated") == "true", F.lit(False)).alias("cut"))
+
+
+@query("SELECT event_id, len(json_keys(props)) > 0 AS has_keys FROM events")
+def e26_tolerant_json(spark, sf):
+    """Objects read out of text around them, with a fence and a comma too many."""
+    said = F.concat(F.lit("Here it is:\n```json\n// found\n"), F.regexp_replace("props", r"\}\s*$", ",}"), F.lit("\n```"))
+    e = table(spark, sf, "events").select("event_id", json_text.first_object(said).alias("v"))
+    return e.select("event_id", (F.size(F.json_object_keys("v")) > 0).alias("has_keys"))
