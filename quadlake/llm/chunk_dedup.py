@@ -30,8 +30,6 @@ from quadlake.llm import runtime, textops
 REACH = 32
 LONGEST = 1024
 LEAST_RUN = 96
-#: Removed chunks whose join side is still broadcast (8 bytes each).
-BROADCAST_CHUNKS = 1_000_000
 
 _GEAR = (textops.mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -149,8 +147,8 @@ def deduplicate_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = seen.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").select("digest", "first")
     later = runtime.cut(seen.join(first, "digest").where("doc > first").groupBy("doc").agg(F.collect_set("digest").alias("later")))
     runtime.drop(seen)
-    n = later.agg(F.sum(F.size("later"))).first()[0] or 0
-    joined = rows.join(F.broadcast(later) if n <= BROADCAST_CHUNKS else later, "doc", "left")
+    # one plan at every size: texts move once to their documents' repeated chunks
+    joined = rows.join(later.hint("merge"), "doc", "left")
     return joined.select("doc", "doc_id", "text", "later").mapInArrow(_strip, "doc_id long, text string, n_chunks long, n_removed long, removed_bytes long")
 
 
