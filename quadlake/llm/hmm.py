@@ -8,8 +8,7 @@ forward recursion over its whole symbol sequence, and a sum over its words.
 
 Counting words is a distributed sum over all training texts. Expected counts of starts, transitions and emissions
 are computed by scaled forward-backward passes in the tasks and summed by Spark; only the parameters (STATES
-times the symbols) come to the driver. The first rounds read one SLICE-th of the training texts each, by hash;
-the last reads them all.
+times the symbols) come to the driver. Each of the ROUNDS reads all training texts, whose symbols are written once.
 
 Counts of the commonest HEAD words are sent to the tasks (a fixed bound); the counts of all other words are joined
 by Spark to the words of the texts. Words are compared by 64-bit hashes.
@@ -33,7 +32,7 @@ from quadlake.llm import runtime, textops
 
 U64 = np.uint64
 OWN, HEAD, SHAPES, STATES = 4096, 1 << 19, 2048, 8
-SLICES, ROUNDS = 8, 4
+ROUNDS = 5
 FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 500_000
 END = textops.mix(np.array([0x5EED], U64))[0]
 
@@ -187,8 +186,21 @@ def _sequences(m: Model, data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.
     return [np.append(x, 0) for x in np.split(sym, cuts)], (h, g, rows, own)
 
 
+def _symbols(m: Model):
+    """Batches of (text) to (symbols), the end token last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in textops.pieces(batch.column(0), 1 << 20):
+                seqs, _ = _sequences(m, data, bounds)
+                off = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(seqs).astype(np.int32)))], ["symbols"])
+
+    return run
+
+
 def _learn(m: Model):
-    """Batches of (text) to (i, v): the expected counts, summed over the task."""
+    """Batches of (symbols) to (i, v): the expected counts, summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = None, [], 0
@@ -201,10 +213,11 @@ def _learn(m: Model):
                 held, size = [], 0
 
         for batch in batches:
-            for _, _, data, bounds in textops.pieces(batch.column(0), 1 << 20):
-                seqs, _ = _sequences(m, data, bounds)
-                held += seqs
-                size += sum(map(len, seqs))
+            column = batch.column(0)
+            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+            for lo, hi in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False):
+                held.append(flat[lo:hi])
+                size += hi - lo
                 if size > FLUSH_TOKENS:
                     add()
         add()
@@ -267,8 +280,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     runtime.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    training = rows.where(~held_out()).select("text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(SLICES)).alias("slice"))
-    counted = training.select("text").mapInArrow(_count, "token long, shape long, c long")
+    training = rows.where(~held_out()).select("text")
+    counted = training.mapInArrow(_count, "token long, shape long, c long")
     vocabulary = runtime.cut(counted.groupBy("token").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")))
     total, distinct = vocabulary.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
@@ -296,12 +309,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     head = Head(token, count, np.log10(n_shape + v_shape + 1))
     prior = np.concatenate([[texts + 1], own_count + 1.0, n_shape + 1]).astype(float)
     model = initial(own, prior / prior.sum())
-    for turn in range(ROUNDS + 1):
-        some = training if turn == ROUNDS else training.where(F.col("slice") == turn % SLICES)
-        sums = some.select("text").mapInArrow(_learn(model), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    sequences = runtime.cut(training.mapInArrow(_symbols(model), "symbols array<int>"))
+    for _ in range(ROUNDS):
+        sums = sequences.mapInArrow(_learn(model), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         counts = np.zeros(STATES + STATES * STATES + STATES * len(prior))
         counts[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
         model = refit(model, counts)
+    runtime.drop(sequences)
 
     scored = rows.mapInArrow(_score(model, head), f"doc_id {kind}, n_tokens long, known long, base double, hmm double, tail array<long>")
     scored = runtime.cut(scored.withColumn("row", F.monotonically_increasing_id()))

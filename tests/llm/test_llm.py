@@ -243,6 +243,15 @@ def test_hmm(docs, none):
     assert hmm.score(none).count() == 0
 
 
+def test_every_round_reads_all_training_texts(docs, monkeypatch):
+    """Starts count the texts and emissions the tokens that a round read."""
+    read, refit = [], hmm.refit
+    monkeypatch.setattr(hmm, "refit", lambda m, c: read.append((c[: hmm.STATES].sum(), c[hmm.STATES * (1 + hmm.STATES) :].sum())) or refit(m, c))
+    rows = hmm.score(docs).collect()
+    train = [r.n_tokens for r in rows if not r.held_out]
+    assert len(read) == 5 and all(x == pytest.approx((len(train), sum(train))) for x in read)
+
+
 def test_forward_is_exact():
     """The scaled recursion equals the sum over all paths; counts add up to the symbols."""
     rng = np.random.default_rng(4)
