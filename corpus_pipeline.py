@@ -5,7 +5,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 quality    rows scored below the threshold by the rule ensemble go
 lines      lines in later occurrences of repeated three-line windows go; n_chars follows the text
-near_dups  of each group of near duplicates (and of rows with one doc_id in it) the row with the least doc_id stays
+near_dups  of each group of near duplicates one row stays, by the least doc_id (null last) and among its rows any one
 benchmark  rows that hold a window of ten words of a benchmark item go
 encode     (doc_id, n_tokens, ids): byte-level BPE ids, as little-endian 32-bit integers
 """
@@ -29,9 +29,12 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.jaccard_components(docs)
-    gone = runtime.cut(found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(runtime.small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    rows = runtime.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_join.jaccard_components(rows, "__row").where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    found = runtime.cut(rows.select("__row", "doc_id").join(found, "__row"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
+    gone = runtime.cut(found.select("__row").join(kept, "__row", "left_anti"))
+    return rows.join(runtime.small(gone, gone.count()), "__row", "left_anti").select(docs.columns)
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,6 +301,15 @@ def test_text_kernels():
     assert hashlib.blake2b(b"x", digest_size=16).digest() == textops.digest128(b"x")
 
 
+def test_near_dups_goes_by_rows(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcdef")
+    rows = [(3, a), (7, a + " more"), (7, b), (9, c), (9, c), (12, d), (None, d), (None, e), (None, e), (None, f), (20, ""), (20, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline._near_dups(spark, docs, "")
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, a), (7, b), (9, c), (12, d), (None, e), (None, f), (20, ""), (20, ""), (None, None)])
+
+
 def test_pipeline(spark, tmp_path):
     import duckdb
 
