@@ -11,14 +11,21 @@
    cannot all be missed: each rare shingle adds one to what must be missing, each frequent one after the first of
    its sub-class likewise. Sub-classes depend on the size class, hence a class is indexed for its own and the
    next size class.
-4. Classes that share keys form candidate groups (stars to the smallest class of a key, then components). Groups
-   are compared in pairs of blocks of bounded bytes by counting common shingles with an inverted index; only a
-   spanning forest of the true links is emitted, never all pairs.
+4. Only classes that share a key are compared, in rounds: each round every key that still has classes of several
+   components takes its least class as pivot, the others of another component are compared with it (once, however
+   many keys they share), links join components, and the pivot leaves the key. Pairs that links join already are
+   never compared, so a group of near copies costs about its size. What is left after ROUNDS rounds (keys whose
+   classes rarely link) is compared within groups, in pairs of blocks of bounded bytes, by counting common shingles
+   with an inverted index; only a spanning forest of the links is emitted, never all pairs.
 5. Components of the links give component_id.
 
+A shingle that very many classes hold is never gathered in one task: step 2 counts what is common within a task there
+and sends on two classes of each such shingle, step 3 counts with map-side aggregation and an equi-join whose hot
+keys adaptive execution can split.
+
 Shingles are compared by 64-bit hashes. Null, empty or blank texts have no shingles and link with nothing. Rows
-that repeat a doc_id are separate documents. A null doc_id never becomes a component_id unless its class has no
-other document. Extra columns are ignored.
+that repeat a doc_id are separate documents. Rows without a doc_id link like others: component_id is the least
+doc_id of the component, and null only where no row of it has one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +48,8 @@ NUM, DEN = 75, 100
 FREQUENT = 100
 #: Packed tokens are flushed at this many, and a bucket gets about BUCKET of them.
 FLUSH, BUCKET = 1_000_000, 250_000
-#: Tokens in a block of a candidate group.
-BLOCK = 400_000
+#: Rounds of comparisons with pivots, and tokens in a block of what they leave.
+ROUNDS, BLOCK = 4, 100_000
 
 
 def _least(n, num: int = NUM, den: int = DEN):
@@ -54,28 +61,33 @@ def _k(n):
     return 1 + n // 10
 
 
-def _sets(k: int, emit_sets: bool):
-    """Batches of (doc_id, text) to (doc_id, n, node[, hashes])."""
+def _sets(k: int, width: int, emit_sets: bool):
+    """Batches of (..., text) to the same columns without the text, and n, node[, hashes]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, end, data, bounds in textops.pieces(batch.column(1)):
+            for at, end, data, bounds in textops.pieces(batch.column(width)):
                 value, off = textops.shingle_sets(data, bounds, k)
                 node = [textops.digest64(value[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                cols = [ids.slice(at, end - at), pa.array(np.diff(off), pa.int64()), pa.array(node, pa.int64())]
+                cols = [*(batch.column(i).slice(at, end - at) for i in range(width)), pa.array(np.diff(off), pa.int64()), pa.array(node, pa.int64())]
                 if emit_sets:
                     cols.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(value.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "hashes"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "n", "node", "hashes"][: len(cols)])
 
     return run
 
 
 class _Dealer:
-    """Packs (token, node) by bucket = token mod buckets: 4 or 8 bytes of the rest of the token, 8 of the node."""
+    """Packs (token, node) by bucket = token mod buckets: 4 bytes of the rest of the token, 8 of the node.
+
+    Tokens that several nodes have within one flush are known to be shared: their nodes are counted here, and only two
+    of them go to the bucket (as told ones, which count no more), so that a hot token never fills one."""
 
-    def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.kind, self.parts, self.held = buckets, np.uint64 if wide else np.uint32, [], 0
+    COLUMNS = ("bucket", "tokens", "nodes", "told_tokens", "told_nodes", "counted", "counts")
+    SCHEMA = "bucket long, tokens binary, nodes binary, told_tokens binary, told_nodes binary, counted binary, counts binary"
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.held = buckets, [], 0
 
     def add(self, token: np.ndarray, node: np.ndarray) -> None:
         self.parts.append((token, node))
@@ -84,26 +96,36 @@ class _Dealer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        token, node = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        token, node = _distinct(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
         self.parts, self.held = [], 0
+        often = _frequency(token) > 1
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        told = often & (first | np.concatenate([[False], first[:-1]]))
         bucket = (token % U64(self.buckets)).astype(np.int64)
-        rest = (token if self.kind is np.uint64 else token // U64(self.buckets)).astype(self.kind)
-        order = np.argsort(bucket, kind="stable")
-        bucket, rest, node = bucket[order], rest[order], node[order]
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(starts[1:], len(bucket))
-        for a in range(0, len(starts), 256):
-            some = list(zip(starts[a : a + 256].tolist(), ends[a : a + 256].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts[a : a + 256]], pa.int64()), pa.array([rest[s:e].tobytes() for s, e in some], pa.binary()), pa.array([node[s:e].tobytes() for s, e in some], pa.binary())],
-                ["bucket", "tokens", "nodes"],
-            )
-
-
-def _unpack(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        rest = (token // U64(self.buckets)).astype(np.uint32)
+        packed: dict[int, list[bytes]] = {}
+        for at, mask in ((0, ~often), (2, told)):
+            order = np.flatnonzero(mask)
+            if not len(order):
+                continue
+            order = order[np.argsort(bucket[order], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+            for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
+                row = packed.setdefault(int(bucket[order[s]]), [b""] * 6)
+                row[at], row[at + 1] = rest[order[s:e]].tobytes(), node[order[s:e]].tobytes()
+        counted, counts = np.unique(node[often], return_counts=True)
+        if len(counted):
+            row = packed.setdefault(int(counted[0]) % self.buckets, [b""] * 6)
+            row[4], row[5] = counted.tobytes(), counts.astype(np.int64).tobytes()
+        keys = list(packed)
+        for a in range(0, len(keys), 256):
+            some = keys[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([packed[k][i] for k in some], pa.binary()) for i in range(6))], list(self.COLUMNS))
+
+
+def _distinct(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (token, node), by token."""
-    token = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("tokens")])
-    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
     order = np.lexsort((node, token))
     token, node = token[order], node[order]
     new = np.ones(len(token), bool)
@@ -113,6 +135,8 @@ def _unpack(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequency(token: np.ndarray) -> np.ndarray:
     """How often each element's value occurs in a sorted array."""
+    if not len(token):
+        return np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(token)))
     return np.repeat(counts, counts)
@@ -120,7 +144,7 @@ def _frequency(token: np.ndarray) -> np.ndarray:
 
 def _deal_prefixes(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(buckets, wide=False)
+        dealer = _Dealer(buckets)
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, bounds in textops.pieces(batch.column(0)):
@@ -141,31 +165,21 @@ def _deal_prefixes(k: int, buckets: int):
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    token, node = _unpack(table, np.uint32)
-    node, count = np.unique(node[_frequency(token) > 1], return_counts=True)
-    return pa.table({"node": pa.array(node, pa.int64()), "shared": pa.array(count, pa.int64())})
-
-
-def _deal_sets(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(buckets, wide=True)
-        for batch in batches:
-            node, lists = batch.column(0).to_numpy(), batch.column(1)
-            dealer.add(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(node, np.diff(lists.offsets.to_numpy())))
-            if dealer.held >= FLUSH:
-                yield from dealer.flush()
-        yield from dealer.flush()
-
-    return run
+    """(node, shared): how many of a node's tokens another node has too, at least as many as there are."""
 
+    def joined(name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
-def _postings(table: pa.Table) -> pa.Table:
-    """Shingles in two classes or more, with their frequency: a row for each class that has one."""
-    token, node = _unpack(table, np.uint64)
-    df = _frequency(token)
-    keep = df > 1
-    token, node, df = token[keep], node[keep], df[keep]
-    return pa.table({"node": pa.array(node, pa.int64()), "token": pa.array(token.view(np.int64)), "df": pa.array(df, pa.int64())})
+    told = set(zip(joined("told_tokens", np.uint32).tolist(), joined("told_nodes", np.int64).tolist(), strict=True))
+    told_token, told_node = (np.array([x[i] for x in sorted(told)], t) for i, t in ((0, np.uint32), (1, np.int64)))
+    own_token, own_node = _distinct(joined("tokens", np.uint32), joined("nodes", np.int64))
+    token = np.concatenate([own_token, told_token])
+    order = np.argsort(token, kind="stable")
+    shared = np.zeros(len(token), bool)
+    shared[order] = _frequency(token[order]) > 1
+    node = np.concatenate([own_node[shared[: len(own_node)]], joined("counted", np.int64)])
+    count = np.concatenate([np.ones(len(node) - len(joined("counted", np.int64)), np.int64), joined("counts", np.int64)])
+    return pa.table({"node": pa.array(node, pa.int64()), "shared": pa.array(count, pa.int64())}).group_by("node").aggregate([("shared", "sum")]).rename_columns(["node", "shared"])
 
 
 def size_class(n: int) -> int:
@@ -213,15 +227,14 @@ def signature(tokens: np.ndarray, dfs: np.ndarray, n: int, frequent: int = FREQU
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sigs, nodes = [], []
+        parts = []
         for node, n, tokens, dfs in zip(*(batch.column(i) for i in range(4)), strict=True):
             s = signature(tokens.values.to_numpy().view(np.uint64), dfs.values.to_numpy(), n.as_py())
-            sigs.append(s)
-            nodes.append(np.full(len(s), node.as_py(), np.int64))
-        if sigs:
-            s, v = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            parts.append((s.view(np.int64), np.full(len(s), node.as_py(), np.int64), np.full(len(s), n.as_py(), np.int64)))
+        if parts:
+            s, v, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             for a in range(0, len(s), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(s[a : a + 50_000]), pa.array(v[a : a + 50_000])], ["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (s, v, n)], ["sig", "node", "n"])
 
 
 def block_links(nodes: np.ndarray, sides: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -275,55 +288,84 @@ def _block_pair(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _members(docs: DataFrame, k: int) -> DataFrame:
-    return runtime.cut(docs.mapInArrow(_sets(k, False), "doc_id long, n long, node long"))
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     runtime.tune(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = _members(docs, words)
-    classes = runtime.cut(members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")))
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")  # rows of one key are equal
+    members = runtime.cut(docs.mapInArrow(_sets(words, 2, False), "row long, doc_id long, n long, node long"))
+    classes = runtime.cut(members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.min("row").alias("row")))
     tokens = classes.agg(F.sum("n")).first()[0] or 0
-    parts = runtime.partitions(spark)
-
-    buckets = max(4 * parts, tokens * 35 // 100 // BUCKET)
-    dealt = docs.select("text").mapInArrow(_deal_prefixes(words, buckets), "bucket long, tokens binary, nodes binary")
+    buckets = max(4 * runtime.partitions(spark), tokens * 35 // 100 // BUCKET)
+    dealt = docs.select("text").mapInArrow(_deal_prefixes(words, buckets), _Dealer.SCHEMA)
     shared = dealt.groupBy("bucket").applyInArrow(_shared_counts, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     least = F.floor((F.col("n") * NUM + DEN - 1) / DEN)
-    alive = runtime.cut(classes.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("node", "rep", "n"))
+    alive = runtime.cut(classes.join(shared, "node").where(F.col("shared") >= 1 + F.floor(least / 10)).select("node", "row", "n"))
     n_alive = alive.count()
 
-    found = docs.join(runtime.small(alive.select(F.col("rep").alias("doc_id"), F.col("node").alias("want")), n_alive), "doc_id")
-    sets = found.select("doc_id", "text").mapInArrow(_sets(words, True), "doc_id long, n long, node long, hashes array<long>")
-    sets = runtime.cut(sets.join(runtime.small(alive.select(F.col("rep").alias("doc_id"), "node"), n_alive), ["doc_id", "node"]).select("node", "n", "hashes"))
-
-    tokens = alive.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4 * parts, tokens // BUCKET)
-    posted = sets.select("node", "hashes").mapInArrow(_deal_sets(buckets), "bucket long, tokens binary, nodes binary")
-    posted = posted.groupBy("bucket").applyInArrow(_postings, "node long, token long, df long")
-    posted = posted.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("p"))
-    posted = posted.join(alive.select("node", "n"), "node").where(F.size("p") >= least).select("node", "n", F.col("p.token").alias("tokens"), F.col("p.df").alias("dfs"))
-    sigs = runtime.cut(posted.mapInArrow(_signatures, "sig long, node long"))
-
-    hubs = sigs.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("sig", "b")
-    near = runtime.cut(sigs.join(hubs, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    runtime.drop(sigs)
-    groups = runtime.cut(runtime.components(near))
-    links = _links(sets, alive, groups)
+    texts = docs.select("row", "text").join(runtime.small(alive.select("row"), n_alive), "row").groupBy("row").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(_sets(words, 1, True), "row long, n long, node long, hashes array<long>")
+    sets = runtime.cut(sets.join(runtime.small(alive.select("row", "node"), n_alive), ["row", "node"]).select("node", "n", "hashes"))
+
+    posted = sets.select("node", "n", F.explode("hashes").alias("token"))
+    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posted = posted.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("p"))
+    posted = posted.where(F.size("p") >= least).select("node", "n", F.col("p.token").alias("tokens"), F.col("p.df").alias("dfs"))
+    sigs = runtime.cut(posted.mapInArrow(_signatures, "sig long, node long, n long"))
+    links = _links(sets, sigs)
     label = runtime.components(links)
-    label = classes.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    least_id = label.groupBy("label").agg(F.min("rep").alias("component_id"))
+    label = classes.join(label, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+    least_id = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of = runtime.cut(label.join(least_id, "label").select("node", "component_id"))
+    for x in (classes, alive, sets, sigs, links):
+        runtime.drop(x)
     out = members.join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(sets: DataFrame, alive: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the links within candidate groups."""
-    grouped = runtime.cut(alive.select("node", "n").join(groups, "node"))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, ...) of classes that link."""
+    sides = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(DEN * common >= NUM * (F.size("ha") + F.size("hb") - common)).select(pairs.columns)
+
+
+def _links(sets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (a, b) that span all links between classes that share a key (sig, node, n)."""
+    schema = "a long, b long"
+    found = sets.sparkSession.createDataFrame([], schema)
+    now, written = sigs.withColumn("label", F.col("node")), []
+    for _ in range(ROUNDS):
+        pivots = now.groupBy("sig").agg(F.min(F.struct("node", "label", "n")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        rest = runtime.cut(now.join(pivots.where("lo < hi").select("sig", "p"), "sig").where(F.col("node") != F.col("p.node")))
+        apart = (F.col("label") != F.col("p.label")) & (DEN * F.least("n", "p.n") >= NUM * F.greatest("n", "p.n"))
+        pairs = rest.where(apart).select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("label").alias("la"), F.col("p.label").alias("lb")).distinct()
+        linked = runtime.cut(_compared(pairs, sets))
+        joined = runtime.components(linked.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        after = rest.select("sig", "node", "n", "label").join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        after = runtime.cut(after.select("sig", "node", "n", F.coalesce("to", "label").alias("label")))
+        found = found.unionByName(linked.select("a", "b"))
+        if written:
+            runtime.drop(written.pop())
+        runtime.drop(rest)
+        now = after
+        written.append(after)
+        if after.isEmpty():
+            break
+    else:
+        left = now.groupBy("sig").agg(F.min("node").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        near = now.join(left.select("sig", "b"), "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        groups = runtime.cut(runtime.components(runtime.cut(near)))
+        if not groups.isEmpty():
+            found = found.unionByName(_group_links(sets, groups))
+    return runtime.cut(found)
+
+
+def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the links within groups (node, label), compared in pairs of blocks."""
+    grouped = runtime.cut(sets.select("node", "n").join(groups, "node"))
     weights = grouped.groupBy("label").agg(F.sum("n").alias("w"))
     total = grouped.agg(F.sum("n")).first()[0] or 0
     packs = max(1, total // BLOCK * 2, 4 * runtime.partitions(sets.sparkSession))
@@ -337,7 +379,7 @@ def _links(sets: DataFrame, alive: DataFrame, groups: DataFrame) -> DataFrame:
     rows = runtime.small(placed, grouped.count())
     each = sets.join(rows, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     each = each.select("node", "hashes", "pack", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return runtime.cut(each.groupBy("pack", "label", "i", "j").applyInArrow(_block_pair, "a long, b long"))
+    return each.groupBy("pack", "label", "i", "j").applyInArrow(_block_pair, "a long, b long")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

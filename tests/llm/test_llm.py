@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import corpus_pipeline
@@ -84,6 +86,45 @@ def test_jaccard(docs, monkeypatch, block, frequent):
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
 
 
+def test_jaccard_rows_without_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(None, a), (5, a + " more"), (5, a + " more"), (9, a), (None, b), (None, b + " more"), (None, c), (None, "  "), (7, None), (8, "few words"), (None, "FEW  words")]
+    want = Counter([(None, 96, 5), (5, 97, 5), (5, 97, 5), (9, 96, 5), (None, 96, None), (None, 97, None), (None, 96, None), (None, 0, None), (7, 0, 7), (8, 1, 8), (None, 1, 8)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
+
+
+@pytest.mark.parametrize("rounds", [4, 1])
+def test_jaccard_compares_what_shares_a_key(spark, monkeypatch, rounds):
+    """A chain of texts that share a part with the next is no group; whatever rounds leave is compared all the same."""
+    part = lambda i: [f"p{i}w{j}" for j in range(60)]
+    rows = [(i, " ".join(part(i) + part(i + 1))) for i in range(150)] + [(1000 + i, " ".join([*part(900), f"end{i}", *part(901)])) for i in range(40)]
+    seen, compared, grouped = [], jaccard_join._compared, jaccard_join._group_links
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "_compared", lambda pairs, sets: seen.append(pairs.count()) or compared(pairs, sets))
+    monkeypatch.setattr(jaccard_join, "_group_links", lambda sets, groups: seen.append(groups.count()) or grouped(sets, groups))
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == (r.doc_id if r.doc_id < 1000 else 1000) for r in out)
+    assert sum(seen) < 2 * len(rows)
+
+
+def test_prefixes_of_a_hot_shingle():
+    """However many classes hold a shingle, two of each flush go to its bucket, and every class is counted."""
+    dealer = jaccard_join._Dealer(4)
+    parts = []
+    for f in range(3):
+        dealer.add(np.repeat(np.array([7], np.uint64), 500), np.arange(500 * f, 500 * (f + 1)))
+        dealer.add(np.array([11 + 4 * f, 100], np.uint64), np.array([5000 + f, 6000 + f]))
+        parts += list(dealer.flush())
+    table = pa.Table.from_batches(parts)
+    assert sum(len(x.as_py()) for x in table.column("told_nodes")) == 3 * 2 * 8
+    counts = Counter()
+    for b in range(4):
+        found = jaccard_join._shared_counts(table.filter(pc.equal(table.column("bucket"), b)))
+        counts.update(dict(zip(found.column("node").to_pylist(), found.column("shared").to_pylist(), strict=True)))
+    assert counts == Counter({**{i: 1 for i in range(1500)}, **{6000 + f: 1 for f in range(3)}})
+
+
 def test_signatures_meet():
     """Any two sets at the threshold share a key, whatever the frequencies."""
     rng = np.random.default_rng(3)
