@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,14 +211,85 @@ def test_secrets(docs, none):
     assert secrets.scan(none).count() == 0
 
 
-def test_randomness_battery(spark):
+def _tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def _battery(m):
+    """(encoding, length, chi-squared, joint p-value) in plain Python."""
+    kind = next(i for i, (_, p, _) in enumerate(secrets.ENCODINGS) if re.match(p, m))
+    text = m.lower() if kind <= 2 else m.replace("-", "+").replace("_", "/")
+    c = [secrets.ENCODINGS[kind][2].index(x) for x in text]
+    size, n, df = len(secrets.ENCODINGS[kind][2]), len(c), len(secrets.ENCODINGS[kind][2]) - 1
+    chi = sum((k - n / size) ** 2 / (n / size) for k in (c.count(x) for x in range(size)))
+    z1 = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    up = [x * 2 >= size for x in c]
+    high, runs = sum(up), 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mu = 2 * high * (n - high) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z2 = (runs - mu) / math.sqrt(var) if var > 0 else 7
+    mean = sum(c) / n
+    spread = sum((x - mean) ** 2 for x in c)
+    z3 = sum((x - mean) * (y - mean) for x, y in zip(c, c[1:])) / spread * math.sqrt(n) if spread else 7
+    half = -sum(math.log(max(2 * _tail(min(abs(z), 7)), 1e-12)) for z in (z1, z2, z3))
+    return kind, n, chi, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def _scanned(texts):
+    """(base_sha256, spans, added, confirmed) of each text, in plain Python."""
+    found, letters = [], Counter()
+    for t in texts:
+        base = [("assign", m.span()) for m in re.finditer(secrets.ASSIGN, t, re.A) if len(m[2]) >= 6]
+        base += [("access", m.span()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= 20] + [("hex", m.span()) for m in re.finditer(secrets.HEX, t) if len(m[0]) >= 24]
+        found.append((base, [(m.span(), _battery(m[0]), any(s < m.end() and m.start() < e for _, (s, e) in base)) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t)]))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", t):
+            letters.update(m[0] if re.fullmatch("[a-z]{12,15}", m[0]) else "")
+    total = sum(letters.values())
+    drawn = ((sum(c * c for c in letters.values()) / total if total else 0) + 1000 * 2 / 26) / (total + 1000)
+    chances = defaultdict(list)
+
+    def chance(b):
+        kind, n, chi, p = b
+        size = len(secrets.ENCODINGS[kind][2])
+        far = (n - 1) * (size * (drawn if kind == 2 else max(drawn, 2 / size)) - 1)
+        z = (chi - (size - 1 + far)) / math.sqrt(2 * (size - 1 + 2 * far))
+        return 1.0 if p < 0.01 else 2 ** (-int(-math.log2(0.5 if z >= 0 else _tail(-z)) * 10) / 10)
+
+    for _, runs in found:
+        for _, b, covered in runs:
+            if not covered:
+                chances[b[0]].append(chance(b))
+    limit = {k: max([x for x in c if x <= 0.05 * sum(y <= x for y in c) / len(c)], default=-1) for k, c in chances.items()}
+    out, order = [], ["assign", "access", "hex", "random"]
+    for base, runs in found:
+        added = [("random", s) for s, b, covered in runs if not covered and chance(b) <= limit[b[0]]]
+        text = lambda x: ",".join(f"{k}:{s}:{e}" for k, (s, e) in sorted(x, key=lambda y: (y[1][0], order.index(y[0]))))
+        out.append((hashlib.sha256(text(base).encode()).hexdigest(), text(base + added), len(added), sum(covered and chance(b) <= 0.05 for _, b, covered in runs)))
+    return out
+
+
+def test_secrets_against_brute_force(spark, tmp_path):
     rng = random.Random(2)
-    alphabet = secrets.BASE64[:62]
-    rows = [(i, "".join(rng.choice(alphabet) for _ in range(40))) for i in range(60)] + [(1000 + i, "thisisquiteanordinary" * 2) for i in range(60)]
-    rows += [(2000 + i, "".join(rng.choice("etaoin") for _ in range(40))) for i in range(400)]
-    found = {r.doc_id: len(r.random) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(found[i] for i in range(60)) >= 50
-    assert sum(n for d, n in found.items() if d >= 1000) == 0
+    drawn = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = lambda n: drawn("etaoinshrdlu", n)
+    texts = ["", None, " ", "token: " + drawn(secrets.BASE64[:62], 40), "x" * 30, "a-b_c/d+" * 5, "my_secret_token_of_things=" + words(30) + "/" + words(20)]
+    texts += [drawn(secrets.BASE64[:62], rng.randint(16, 60)) for _ in range(40)] + [" ".join(drawn("0123456789", 16) for _ in range(4)) for _ in range(20)]
+    texts += [" ".join(words(rng.randint(10, 30)) for _ in range(20)) for _ in range(30)] + [drawn("0123456789abcdef", 40) + " " + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32) for _ in range(10)]
+    texts += [f"é {drawn(secrets.BASE64[26:62], 30)}, password = '{drawn(secrets.BASE64, 24)}' AKIA{drawn('ABCDEF0123', 16)}/" for _ in range(10)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(secrets.op6(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    want = _scanned([t or "" for t in texts])
+    assert [(r.base_sha256, r.spans, r.n_random, r.n_confirmed) for r in rows] == want
+    assert sum(x[2] for x in want) >= 40 and sum(x[3] for x in want) >= 10
+
+
+def test_secrets_in_a_crowded_text(spark):
+    """Thousands of runs in one text are no more work each than a few."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) + f" token={i:08d} Ab{rng.getrandbits(120):x}" for i in range(3000))
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(row.hex) >= 3000 and len(row["assign"]) == 3000 and time.time() - began < 60
 
 
 def test_quality(spark, docs, none):
