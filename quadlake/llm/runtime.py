@@ -19,29 +19,47 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, but only in local mode, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="quadlake-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: survives lost executors, ends its lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it again: survives lost executors, ends its lineage.
+
+    What :func:`drop` does not delete goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadlake_path = path
     return out
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def drop(df: DataFrame) -> None:
     """Delete what :func:`cut` wrote, once nothing lazy refers to it."""
-    spark, path = df.sparkSession, df._quadlake_path
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _place(df.sparkSession, df._quadlake_path)
+    system.delete(place, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores after it until no column of ``taken`` is called so."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quadlake.llm import audio, bpe, chunk_dedup, decontaminate, hmm, jaccard_join, line_dedup, quality, secrets, shards, textops
 
@@ -314,7 +316,7 @@ def test_quality_rules_learn():
 def test_winnowing(spark, docs, none):
     words = lambda t: [x for x in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(t.encode())) if x]
     source = TEXTS[-30][1].split()
-    items = [(1, " ".join(TEXTS[8][1].split()[20:45])), (2, "one two"), (3, ""), (4, None), (10, " ".join(TEXTS[8][1].split()[30:40])), (11, "never seen words " * 5), (12, " ".join(source[:12]))]
+    items = [(1, " ".join(TEXTS[8][1].split()[20:45])), (2, "one two"), (3, ""), (4, None), (10, " ".join(TEXTS[8][1].split()[30:40])), (11, "never seen words " * 5), (12, " ".join(source[:12])), (13, " ".join(source[:12])), (None, " ".join(source[14:26])), (None, "one TWO")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     want = {}
     for d, t in TEXTS:
@@ -326,17 +328,21 @@ def test_winnowing(spark, docs, none):
             for k in range(len(w) - n + 1) if v else ():
                 if tuple(w[k : k + n]) in grams:
                     hit |= set(range(k, k + n))
-                    found.add(i)
+                    found |= {i} - {None}
         want[d] = (len(w), len(hit), sorted(found))
-    for size in (decontaminate.BLOCK_WORDS, 30):  # one block, and many
-        old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, size
+    for size in (decontaminate.SHORT, 1):  # one block of short windows, and many
+        old, decontaminate.SHORT = decontaminate.SHORT, size
         rows = decontaminate.contamination(docs, frame).collect()
-        decontaminate.BLOCK_WORDS = old
+        decontaminate.SHORT = old
         assert len(rows) == len(ROWS)
         for r in rows:
             assert (r.n_words, sum(b - a for a, b in zip(r.starts, r.ends, strict=True)), sorted(r["items"])) == want[r.doc_id], r.doc_id
     kept = decontaminate.drop_contaminated(docs, frame)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in TEXTS if not want[d][1])
+    named = decontaminate.contamination(docs, frame.selectExpr("concat('item ', item_id) as item_id", "text")).collect()
+    assert Counter((r.doc_id, tuple(sorted(r["items"]))) for r in named) == Counter((d, tuple(sorted(f"item {i}" for i in want[d][2]))) for d, _ in TEXTS)
+    clash = docs.withColumn("key", F.lit(7)).withColumn("KEY_", F.lit(8))
+    assert decontaminate.drop_contaminated(clash, frame).columns == clash.columns
     assert decontaminate.contamination(none, frame).count() == 0
     assert decontaminate.contamination(docs, frame.limit(0)).where("size(items) > 0").count() == 0
 
