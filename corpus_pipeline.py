@@ -23,18 +23,19 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicate_lines(docs).drop("__n_lines", "__n_removed")
+    out = line_dedup.deduplicate_lines(docs)
     kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = runtime.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = jaccard_join.jaccard_components(rows, "__row").where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
-    found = runtime.cut(rows.select("__row", "doc_id").join(found, "__row"))
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
-    gone = runtime.cut(found.select("__row").join(kept, "__row", "left_anti"))
-    return rows.join(runtime.small(gone, gone.count()), "__row", "left_anti").select(docs.columns)
+    row = runtime.fresh(docs.columns, "__row")
+    rows = runtime.cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard_join.jaccard_components(rows, row).where("n_shingles > 0").select(F.col("doc_id").alias("r"), "component_id")
+    found = runtime.cut(rows.select(F.col(row).alias("r"), "doc_id").join(found, "r"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("first")).select("first.r")
+    gone = runtime.cut(found.select("r").join(kept, "r", "left_anti"))
+    return rows.join(runtime.small(gone.withColumnRenamed("r", row), gone.count()), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = runtime.cut(docs)
+            if i:  # what the stage before wrote is needed no more
+                runtime.drop(before)
     return docs
