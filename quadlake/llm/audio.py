@@ -4,13 +4,16 @@ Audio is a binary column of WAV files (PCM, 16 bits, one channel, RATE Hz). Fram
 transformed to 12 pitch classes and normalised. Over the integral image of the pitch-class frames, FILTERS compare
 sums of rectangles in a window of WIDTH frames; each answer becomes two bits (Gray code), 16 answers one 32-bit
 integer a frame. Equal fingerprints form a class (its least id stands for it). To align two recordings, equal
-integers vote for an offset; the offset with most votes is verified by the share of unequal bits where they overlap.
+integers vote for an offset (a sustained sound, whose integers repeat, votes once); every offset with VOTES votes is
+verified by the share of unequal bits where the recordings overlap, and the best one counts.
 
-Queries are a stated set, the recordings whose id is divisible by 100, compared to all classes: their index goes to
-the tasks in blocks of at most BLOCK codes, so no join by a common code and no list by code is ever made.
+Queries are a stated set, the recordings whose id is divisible by 100, compared to all classes. Votes come from an
+equi-join by integer, summed map-side by (query, class, offset) right behind it; adaptive execution splits integers
+that very many recordings have. Nothing comes to the driver.
 
-Null, malformed or short audio has no integers, is a class of its own and is aligned with nothing. Repeated rows
-are recordings of their own (of one class). Extra columns are ignored.
+Null, malformed or empty audio is a class of its own. Audio too short for an integer is in one class with equal
+samples and is aligned with nothing. Repeated rows are recordings of their own (of one class). Extra columns are
+ignored.
 
 The tables hold no audio, so the query derives a recording from each turn of ``conversations``: every word of the
 whole text is a tone of TONE samples whose two pitches follow from the word's hash.
@@ -29,7 +32,6 @@ from pyspark.sql import functions as F
 from quadlake.llm import runtime, textops
 
 RATE, FRAME, HOP, WIDTH, TONE = 2048, 512, 128, 16, 256
-BLOCK = 1 << 20
 VOTES, OVERLAP, ERRORS = 4, 16, 0.2
 LEVEL = 0.25
 
@@ -142,88 +144,37 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (conv_id, turn, audio) to (conv_id, turn, codes, class)."""
     for batch in batches:
-        codes = [fingerprint(read_wav(x.as_py())).tobytes() for x in batch.column(2)]
-        kind = [textops.digest128(c) if c else None for c in codes]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()), pa.array(kind, pa.binary())], ["conv_id", "turn", "codes", "class"])
-
-
-class Queries:
-    """A block of query fingerprints with an index by integer."""
-
-    def __init__(self, names: list[bytes], codes: list[np.ndarray]):
-        self.names, self.codes = names, codes
-        flat = np.concatenate(codes)
-        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes])
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.place = flat[order], owner[order], place[order]
-
-    def align(self, codes: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(query, offset, overlap, share of unequal bits) of the queries that align: place = place in query + offset."""
-        lo, hi = np.searchsorted(self.flat, codes, side="left"), np.searchsorted(self.flat, codes, side="right")
-        size = hi - lo
-        if not size.sum():
-            return []
-        jump = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        owner, offset = self.owner[jump], np.repeat(np.arange(len(codes)), size) - self.place[jump]
-        pair, votes = np.unique(owner.astype(np.int64) * (1 << 32) + offset + (1 << 31), return_counts=True)
-        q, off = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31)
-        order = np.lexsort((off, -votes, q))
-        first = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
-        out = []
-        for i in first[votes[first] >= VOTES].tolist():
-            mine, d = self.codes[q[i]], int(off[i])
-            a, b = max(0, d), min(len(codes), d + len(mine))
-            if b - a >= OVERLAP:
-                bits = int(np.bitwise_count(codes[a:b] ^ mine[a - d : b - d]).sum())
-                if bits <= ERRORS * 32 * (b - a):
-                    out.append((int(q[i]), d, b - a, bits / (32 * (b - a))))
-        return out
-
-
-def _align(queries: Queries):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += [(queries.names[q], name, d, n, e) for q, d, n, e in queries.align(np.frombuffer(raw, np.uint32)) if queries.names[q] != name]
-            cols = list(zip(*found, strict=True)) or [[]] * 5
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["query", "class", "offset", "overlap", "errors"])
-
-    return run
+        codes, kind = [], []
+        for x in batch.column(2):
+            samples = read_wav(x.as_py())
+            codes.append(fingerprint(samples).view(np.int32))
+            kind.append(textops.digest128(codes[-1].tobytes() if len(codes[-1]) else b"short" + samples.tobytes()) if len(samples) else None)
+        off = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *codes])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(kind, pa.binary())], ["conv_id", "turn", "codes", "class"])
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
     """(conv_id, turn, codes, class) of the media rows (conv_id, turn, audio)."""
-    return media.mapInArrow(_fingerprints, "conv_id long, turn long, codes binary, class binary")
+    return media.select("conv_id", "turn", "audio").mapInArrow(_fingerprints, "conv_id long, turn long, codes array<int>, class binary")
 
 
 def alignments(prints: DataFrame) -> DataFrame:
-    """(query, class, offset, overlap, errors) of every query class and every other class that align."""
-    spark = prints.sparkSession
-    classes = prints.where("class is not null").groupBy("class").agg(F.first("codes").alias("codes"), F.max((F.col("conv_id") % 100 == 0).cast("int")).alias("asked"))
+    """(query, class, offset, overlap, errors) of every query class and every other class that align.
+
+    place in class = place in query + offset."""
+    classes = prints.where("class is not null and size(codes) > 0").groupBy("class").agg(F.first("codes").alias("codes"), F.max((F.col("conv_id") % 100 == 0).cast("int")).alias("asked"))
     classes = runtime.cut(classes)
-    found, names, codes, held = [], [], [], 0
-    rows = classes.select("class", "codes").repartition(runtime.partitions(spark), "class")
-
-    def block() -> None:
-        nonlocal names, codes, held
-        found.append(runtime.cut(rows.mapInArrow(_align(Queries(names, codes)), "query binary, class binary, offset long, overlap long, errors double")))
-        names, codes, held = [], [], 0
-
-    for r in classes.where("asked = 1").select("class", "codes").toLocalIterator():
-        names.append(bytes(r[0]))
-        codes.append(np.frombuffer(bytes(r[1]), np.uint32))
-        held += len(codes[-1])
-        if held > BLOCK:
-            block()
-    if names:
-        block()
-    out = spark.createDataFrame([], "query binary, class binary, offset long, overlap long, errors double") if not found else found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    begins = "inline(filter(transform(codes, (c, i) -> struct(c as code, i as place)), x -> x.place = 0 or codes[x.place - 1] <> x.code))"
+    asked = classes.where("asked = 1").select(F.col("class").alias("query"), "codes")
+    index = asked.select("query", F.expr(begins)).withColumnRenamed("place", "at")
+    votes = classes.select("class", F.expr(begins)).join(index, "code").where("class <> query").groupBy("query", "class", (F.col("place") - F.col("at")).alias("offset")).count().where(F.col("count") >= VOTES)
+    both = votes.join(classes.select("class", F.col("codes").alias("c")), "class").join(asked.withColumnRenamed("codes", "q"), "query")
+    both = both.withColumn("a", F.greatest(F.lit(0), "offset")).withColumn("n", F.least(F.size("c"), F.col("offset") + F.size("q")) - F.col("a")).where(F.col("n") >= OVERLAP)
+    unequal = F.zip_with(F.expr("slice(c, a + 1, n)"), F.expr("slice(q, a - offset + 1, n)"), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    both = both.withColumn("bits", F.aggregate(unequal, F.lit(0), lambda s, x: s + x)).where(F.col("bits") <= ERRORS * 32 * F.col("n"))
+    best = both.groupBy("query", "class").agg(F.min(F.struct((F.col("bits") / (32 * F.col("n"))).alias("errors"), (-F.col("n")).alias("o"), "offset")).alias("b"))
+    return runtime.cut(best.select("query", "class", F.col("b.offset").cast("long").alias("offset"), (-F.col("b.o")).cast("long").alias("overlap"), "b.errors"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +193,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.col("conv_id") % 100 == 0
     n = F.when(asked, F.coalesce("n_links", F.lit(0)))
     only = [F.when(asked, F.col(c)).alias(c) for c in ("best_conv_id", "best_turn", "best_offset", "bit_errors")]
-    return out.select("conv_id", "turn", (F.length("codes") / 4).cast("long").alias("n_codes"), F.coalesce("first.conv_id", "conv_id").alias("class_conv_id"), F.coalesce("first.turn", "turn").alias("class_turn"), F.hex("class").alias("class"), n.alias("n_links"), *only)
+    return out.select("conv_id", "turn", F.size("codes").cast("long").alias("n_codes"), F.coalesce("first.conv_id", "conv_id").alias("class_conv_id"), F.coalesce("first.turn", "turn").alias("class_turn"), F.hex("class").alias("class"), n.alias("n_links"), *only)

@@ -25,7 +25,8 @@ BROADCAST_WINDOWS = 1_000_000
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the kept text in place, and the columns __n_lines and __n_removed."""
+    """``docs`` with the kept text in place, and the columns __n_lines and __n_removed (with more underscores after them
+    where ``docs`` has columns of these names)."""
     runtime.tune(docs.sparkSession)
     lines = F.split(F.col(text_col), "\n", -1)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_col).alias("h"), lines.alias("lines"))
@@ -40,15 +41,21 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = later.agg(F.sum(F.size("__covered"))).first()[0] or 0
     runtime.drop(found)
 
-    out = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("__h", F.xxhash64(text_col))
-    side = later.withColumnsRenamed({"d": "__d", "h": "__h"})
-    out = out.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, ["__d", "__h"], "left")
-    out = out.withColumn("__lines", lines)
-    kept = F.array_except(F.expr("sequence(0, size(__lines) - 1)"), F.col("__covered"))
-    text = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    counts = F.coalesce(F.size("__lines"), F.lit(0)), F.coalesce(F.size("__covered"), F.lit(0))
-    out = out.withColumn("__n_lines", F.greatest(counts[0], F.lit(0)).cast("long")).withColumn("__n_removed", F.greatest(counts[1], F.lit(0)).cast("long"))
-    return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+    d, h, cells, gone = (runtime.fresh(docs.columns, x) for x in ("__d", "__h", "__lines", "__covered"))
+    n_lines, n_removed = counted(docs.columns)
+    out = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn(h, F.xxhash64(text_col))
+    side = later.withColumnsRenamed({"d": d, "h": h, "__covered": gone})
+    out = out.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, [d, h], "left")
+    out = out.withColumn(cells, lines)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cells) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cells, i)), "\n"))
+    counts = [F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long").alias(name) for x, name in ((cells, n_lines), (gone, n_removed))]
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts)
+
+
+def counted(columns: list[str]) -> list[str]:
+    """Names of the counts of lines beside these columns."""
+    return [runtime.fresh(columns, x) for x in ("__n_lines", "__n_removed")]
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

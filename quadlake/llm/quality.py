@@ -221,27 +221,31 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
-def _both(column: int):
-    """All columns, then the statistics."""
+def _both(column: int, names: list[str]):
+    """All columns, then the statistics under these names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, bounds in textops.pieces(batch.column(column)):
                 x = statistics(data, bounds)
                 some = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(x.shape[1]))], [*batch.schema.names, *(f"__q_{f}" for f in FEATURES)])
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(x.shape[1]))], [*batch.schema.names, *names])
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score is below ``threshold``; all columns stay."""
-    bias, rules = learn(measured(docs), labels)
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *(f"`__q_{f}` double" for f in FEATURES)])
-    wide = docs.mapInArrow(_both(docs.columns.index("text")), schema)
+    """``docs`` without the rows whose score is below ``threshold``; all columns stay.
+
+    Only labelled rows are measured to fit the rules; then all rows are measured once."""
+    marked = labels.where("quality is not null").select("doc_id").distinct()
+    bias, rules = learn(measured(docs.select("doc_id", "text").where(_remainder() != 0).join(marked, "doc_id", "left_semi")), labels)
+    names = [runtime.fresh(docs.columns, f"__q_{f}") for f in FEATURES]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *(f"`{n}` double" for n in names)])
+    wide = docs.mapInArrow(_both(docs.columns.index("text"), names), schema)
     score = compiled(bias, rules)
-    # the rules speak of FEATURES by name, so they are evaluated over a struct's fields renamed back
-    inner = wide.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *[F.col(f"__q_{f}").alias(f) for f in FEATURES])
+    # the rules speak of FEATURES by name: the document is a struct beside them
+    inner = wide.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *[F.col(n).alias(f) for n, f in zip(names, FEATURES, strict=True)])
     return inner.where(score >= threshold).select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 

@@ -7,7 +7,9 @@ of them by hash may. Rounds end when nothing moves, or after ROUNDS. Then quotas
 links, and linked ones beyond a quota, fill the shards up by rank, which cuts no edge of the others.
 
 Ranks are made of counts by hash bucket and row numbers within a bucket, so no task sees a whole shard. Only the
-number of rows by shard, a bounded figure, comes to the driver.
+number of rows by shard, a bounded figure, comes to the driver. All choices follow from a hash of doc_id and text, so
+the result does not depend on how the rows are laid out in files or partitions; rows that repeat both are
+interchangeable.
 
 size: UTF-8 bytes of the text (null: none) plus one. Null texts and texts of their own are not linked. Rows that
 repeat a doc_id are rows of their own. slot numbers the rows of a shard from 0. Extra columns are ignored.
@@ -29,13 +31,13 @@ FILL = 0.98
 
 
 def ranked(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """``rows`` with their gapless rank from 0 within ``key``, by buckets of the column ``row``."""
+    """``rows`` with their gapless rank from 0 within ``key``, by buckets of the column ``hash``."""
     buckets = max(1, n // RANK_ROWS)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    rows = rows.withColumn("__bucket", F.pmod("hash", F.lit(buckets)))
     counts = rows.groupBy(key, "__bucket").agg(F.count("*").alias("__c"))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(key, "__bucket", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(key, "__bucket").orderBy("row")
+    within = Window.partitionBy(key, "__bucket").orderBy("hash", "row")
     rows = rows.withColumn("__rn", F.row_number().over(within))
     counts = F.broadcast(counts) if buckets * SHARDS <= runtime.BROADCAST_ROWS else counts
     return rows.join(counts, [key, "__bucket"]).withColumn(name, (F.col("__before") + F.col("__rn") - 1).cast("long")).drop("__bucket", "__before", "__rn")
@@ -47,7 +49,7 @@ def _by_shard(rows: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Moves the rows (row, text_key, shard) towards their groups' shards; the loads stay near the quotas."""
+    """Moves the rows (row, hash, text_key, shard) towards their groups' shards; the loads stay near the quotas."""
     shards = len(quota)
     for turn in range(rounds):
         room = [max(0.0, FILL * q - x) for q, x in zip(quota, _by_shard(linked, shards), strict=True)]
@@ -57,14 +59,14 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         wish = linked.join(votes, "text_key")
         better = F.col("best.c") > F.get("held", F.col("shard"))
         better |= (F.col("best.c") == F.get("held", F.col("shard"))) & (-F.col("best.s") < F.col("shard"))
-        wish = runtime.cut(wish.select("row", "text_key", "shard", F.when(better, -F.col("best.s")).otherwise(F.col("shard")).alias("to")))
+        wish = runtime.cut(wish.select("row", "hash", "text_key", "shard", F.when(better, -F.col("best.s")).otherwise(F.col("shard")).alias("to")))
         wanted = {r[0]: r[1] for r in wish.where("shard <> to").groupBy("to").count().collect()}
         if not wanted:
             break
         share = F.array(*[F.lit(min(1.0, room[s] / wanted[s]) if s in wanted else 0.0) for s in range(shards)])
-        luck = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        luck = F.pmod(F.xxhash64("hash", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         moves = (F.col("to") != F.col("shard")) & (luck < F.get(share, F.col("to")))
-        linked = runtime.cut(wish.select("row", "text_key", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        linked = runtime.cut(wish.select("row", "hash", "text_key", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         if all(room[s] <= 0 for s in wanted):
             break
     return linked
@@ -78,6 +80,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(raw, F.lit("").cast("binary"))).alias("text_crc32"),
         F.unhex(F.md5(raw)).alias("text_key"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = runtime.cut(rows)
@@ -85,15 +88,15 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     groups = rows.where("text_key is not null").groupBy("text_key").count().where("count > 1").select("text_key")
     groups = runtime.cut(groups)
-    linked = rows.join(runtime.small(groups, groups.count()), "text_key").select("row", "text_key", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
+    linked = rows.join(runtime.small(groups, groups.count()), "text_key").select("row", "hash", "text_key", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int").alias("shard"))
     linked = propagate(runtime.cut(linked), quota)
 
-    placed = runtime.cut(ranked(linked.select("row", "shard"), "shard", max(1, n // shards), "rank"))
+    placed = runtime.cut(ranked(linked.select("row", "hash", "shard"), "shard", max(1, n // shards), "rank"))
     limit = F.array(*[F.lit(q) for q in quota])
     stays = placed.where(F.col("rank") < F.get(limit, F.col("shard"))).select("row", F.col("shard").alias("kept"))
     need = [q - x for q, x in zip(quota, _by_shard(stays.withColumnRenamed("kept", "shard"), shards), strict=True)]
     both = runtime.cut(rows.join(stays, "row", "left"))
-    pool = both.where("kept is null").select("row", F.lit(0).alias("all"))
+    pool = both.where("kept is null").select("row", "hash", F.lit(0).alias("all"))
     pool = ranked(pool, "all", n, "rank")
     shard, end = F.lit(None).cast("int"), 0
     for s in range(shards):
@@ -101,7 +104,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
         end += need[s]
     pool = pool.select("row", shard.alias("filled"))
     done = both.join(pool, "row", "left").withColumn("shard", F.coalesce("kept", "filled")).drop("kept", "filled", "text_key")
-    return ranked(runtime.cut(done), "shard", max(1, n // shards), "slot").drop("row")
+    return ranked(runtime.cut(done), "shard", max(1, n // shards), "slot").drop("row", "hash")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
