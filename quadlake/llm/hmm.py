@@ -33,7 +33,7 @@ from quadlake.llm import runtime, textops
 U64 = np.uint64
 OWN, HEAD, SHAPES, STATES = 4096, 1 << 19, 2048, 8
 ROUNDS = 5
-FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 500_000
+FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 1_500_000
 END = textops.mix(np.array([0x5EED], U64))[0]
 
 

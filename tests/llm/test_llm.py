@@ -455,6 +455,36 @@ def test_hmm(docs, none):
     assert hmm.score(none).count() == 0
 
 
+def test_hmm_scores_against_brute_force(docs, monkeypatch):
+    """The score of each text is the log of a sum over all paths of the fitted model, times the words' shares."""
+    monkeypatch.setattr(hmm, "OWN", 60)
+    kept, score = {}, hmm._score
+    monkeypatch.setattr(hmm, "_score", lambda m, head: kept.update(m=m) or score(m, head))
+    rows = hmm.score(docs).collect()
+    m = kept["m"]
+    words = lambda t: [x for x in re.split(rb"[\x20\x09-\x0D]+", _low(t.encode())) if x]
+    hashed = {w: hmm.tokenise(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[:2] for _, t in TEXTS for w in words(t)}
+    own, shape = {w: int(h[0]) in set(m.own.tolist()) for w, (h, _) in hashed.items()}, {w: int(g[0]) for w, (_, g) in hashed.items()}
+    c = Counter(w for d, t in TEXTS if zlib.crc32(str(d).encode()) % 7 != 2 for w in words(t))
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        if not own[w]:
+            n[shape[w]] += k
+            v[shape[w]] += 1
+    assert 0 < sum(own.values()) <= 60 < len(c)
+    got = defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append(r.score)
+    for d, t in TEXTS:
+        total, state = 0.0, m.start
+        symbols = [(int(np.searchsorted(m.own, hashed[w][0][0])) + 1, 1.0) if own[w] else (shape[w] + 1 + len(m.own), (c[w] + 1) / (n[shape[w]] + v[shape[w]] + 1)) for w in words(t)] + [(0, 1.0)]
+        for i, (s, share) in enumerate(symbols):
+            state = (state if not i else state @ m.move) * m.emit[:, s] * share
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        assert any(x == pytest.approx(total, rel=1e-9) for x in got[d]), d
+
+
 def test_every_round_reads_all_training_texts(docs, monkeypatch):
     """Starts count the texts and emissions the tokens that a round read."""
     read, refit = [], hmm.refit
