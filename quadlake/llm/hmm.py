@@ -33,7 +33,7 @@ from quadlake.llm import runtime, textops
 U64 = np.uint64
 OWN, HEAD, SHAPES, STATES = 4096, 1 << 19, 2048, 8
 ROUNDS = 5
-FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 1_500_000
+FLUSH_WORDS, FLUSH_TOKENS = 1_000_000, 1_000_000
 END = textops.mix(np.array([0x5EED], U64))[0]
 
 
@@ -83,6 +83,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held)
 
 
+class Lookup:
+    """Places of hashes among sorted ones, by a table over their first bits and a step for each collision."""
+
+    def __init__(self, words: np.ndarray):
+        self.n = len(words)
+        self.words = np.append(words, ~U64(0))
+        self.shift = U64(64 - max(1, self.n.bit_length()))
+        self.first = np.searchsorted(words, np.arange(1 << max(1, self.n.bit_length()), dtype=U64) << self.shift).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the hash is there)."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.words[at] < hashes)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.words[at[todo]] < hashes[todo]]
+        return at, (self.words[at] == hashes) & (at < self.n)
+
+
 @dataclass
 class Model:
     own: np.ndarray  # sorted hashes of the words with symbols of their own; symbol: place + 1
@@ -91,11 +110,8 @@ class Model:
     emit: np.ndarray  # states x symbols; symbol 0: end; after the own words the shapes
     prior: np.ndarray  # share of each symbol
 
-    def symbols(self, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.own):
-            return shapes + 1, np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-        own = self.own[at] == hashes
+    def symbols(self, index: Lookup, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, own = index.find(hashes)
         return np.where(own, at + 1, shapes + 1 + len(self.own)), own
 
 
@@ -120,21 +136,22 @@ class _Packed:
         self.flat = flat[by]
         self.n = np.bincount(time)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
+        at = self.at.tolist()
+        self.steps = list(zip(at[:-1], at[1:], strict=True))
 
 
 def forward(m: Model, p: _Packed, keep: bool):
-    """Log-likelihood of each packed sequence, and the scaled forward values and scales if they are wanted."""
+    """Log-likelihood of each packed sequence, the scaled forward values if they are wanted, emissions and scales."""
     emission = np.ascontiguousarray(m.emit.T)[p.flat]
     scale = np.empty(len(p.flat))
-    alpha = emission if keep else None
+    alpha = np.empty_like(emission) if keep else None
+    ones = np.ones(len(m.start))
     a = emission[: p.n[0]] * m.start
-    for t in range(len(p.n)):
-        lo, hi = p.at[t], p.at[t + 1]
+    for t, (lo, hi) in enumerate(p.steps):
         if t:
             a = a[: hi - lo] @ m.move
             a *= emission[lo:hi]
-        s = a.sum(1)
-        scale[lo:hi] = s
+        s = np.dot(a, ones, out=scale[lo:hi])
         a /= s[:, None]
         if keep:
             alpha[lo:hi] = a
@@ -142,27 +159,28 @@ def forward(m: Model, p: _Packed, keep: bool):
     total = np.bincount(np.arange(len(p.flat)) - np.repeat(p.at[:-1], p.n), weights=logs, minlength=len(p.order))
     out = np.empty(len(p.order))
     out[p.order] = total
-    return out, alpha, scale
+    return out, alpha, emission, scale
 
 
 def expected(m: Model, p: _Packed) -> np.ndarray:
     """Expected starts, transitions and emissions as one vector."""
-    _, alpha, scale = forward(m, p, True)
+    _, alpha, emission, scale = forward(m, p, True)
     k = len(m.start)
-    by_symbol = np.ascontiguousarray(m.emit.T)
+    emission /= scale[:, None]
+    back = np.ascontiguousarray(m.move.T)
     moves = np.zeros((k, k))
     gamma = alpha  # becomes alpha * beta, back to front
     beta = np.ones((p.n[-1], k))
     for t in range(len(p.n) - 1, 0, -1):
-        lo, hi = p.at[t], p.at[t + 1]
+        lo, hi = p.steps[t]
         if len(beta) < hi - lo:
             beta = np.concatenate([beta, np.ones((hi - lo - len(beta), k))])
-        x = beta * by_symbol[p.flat[lo:hi]]
-        x /= scale[lo:hi, None]
+        x = emission[lo:hi]  # times beta, in place: each is needed once
+        x *= beta
         gamma[lo:hi] *= beta
-        before = alpha[p.at[t - 1] : p.at[t - 1] + (hi - lo)]
-        moves += before.T @ x
-        beta = x @ m.move.T
+        before = p.steps[t - 1][0]
+        moves += alpha[before : before + (hi - lo)].T @ x
+        beta = x @ back
     if len(beta) < p.n[0]:
         beta = np.concatenate([beta, np.ones((p.n[0] - len(beta), k))])
     gamma[: p.n[0]] *= beta
@@ -179,9 +197,9 @@ def refit(m: Model, counts: np.ndarray) -> Model:
     return Model(m.own, start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), m.prior)
 
 
-def _sequences(m: Model, data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], tuple]:
+def _sequences(m: Model, index: Lookup, data: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], tuple]:
     h, g, rows = tokenise(data, bounds)
-    sym, own = m.symbols(h, g)
+    sym, own = m.symbols(index, h, g)
     cuts = np.searchsorted(rows, np.arange(1, len(bounds) - 1))
     return [np.append(x, 0) for x in np.split(sym, cuts)], (h, g, rows, own)
 
@@ -190,9 +208,10 @@ def _symbols(m: Model):
     """Batches of (text) to (symbols), the end token last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Lookup(m.own)
         for batch in batches:
-            for _, _, data, bounds in textops.pieces(batch.column(0), 1 << 20):
-                seqs, _ = _sequences(m, data, bounds)
+            for _, _, data, bounds in textops.pieces(batch.column(0)):
+                seqs, _ = _sequences(m, index, data, bounds)
                 off = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(seqs).astype(np.int32)))], ["symbols"])
 
@@ -240,23 +259,27 @@ def _score(m: Model, head: Head):
     """Batches of (doc_id, text) to token counts, partial sums and the words beyond the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, heads = Lookup(m.own), Lookup(head.words)
         for batch in batches:
-            for at, end, data, bounds in textops.pieces(batch.column(0 + 1), 2 << 20):
+            seqs, parts = [], []
+            for at, end, data, bounds in textops.pieces(batch.column(1)):
                 n = end - at
-                seqs, (h, g, rows, own) = _sequences(m, data, bounds)
-                like = forward(m, _Packed(seqs), False)[0] / np.log(10)
-                k = np.minimum(np.searchsorted(head.words, h), max(len(head.words) - 1, 0))
-                known = head.words[k] == h if len(head.words) else np.zeros(len(h), bool)
+                some, (h, g, rows, own) = _sequences(m, index, data, bounds)
+                seqs += some
+                k, known = heads.find(h)
                 logs = np.zeros(len(h))
                 logs[known] = np.log10(head.counts[k[known]] + 1.0)
-                base = np.bincount(rows, weights=logs, minlength=n)
-                like += np.bincount(rows[~own], weights=(logs - head.shape_log[g])[~own], minlength=n)
-                tail, row = h[~known].view(np.int64), rows[~known]
-                off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.array([len(s) for s in seqs], np.int64)), pa.array(np.bincount(rows[known], minlength=n), pa.int64()), pa.array(base), pa.array(like), pa.ListArray.from_arrays(pa.array(off), pa.array(tail))],
-                    ["doc_id", "n_tokens", "known", "base", "hmm", "tail"],
-                )
+                shares = np.bincount(rows[~own], weights=(logs - head.shape_log[g])[~own], minlength=n)
+                parts.append((np.bincount(rows[known], minlength=n), np.bincount(rows, weights=logs, minlength=n), shares, np.bincount(rows[~known], minlength=n), h[~known].view(np.int64)))
+            if not parts:
+                continue
+            known, base, like, more, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+            size = np.array([len(s) for s in seqs], np.int64)
+            cuts = np.searchsorted(np.cumsum(size), np.arange(FLUSH_TOKENS, int(size.sum()), FLUSH_TOKENS)) + 1
+            groups = [x for x in np.split(np.arange(len(seqs)), cuts) if len(x)]  # of about FLUSH_TOKENS each
+            like += np.concatenate([forward(m, _Packed([seqs[i] for i in x]), False)[0] for x in groups]) / np.log(10)
+            off = np.concatenate([[0], np.cumsum(more)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(known, pa.int64()), pa.array(base), pa.array(like), pa.ListArray.from_arrays(pa.array(off), pa.array(tail))], ["doc_id", "n_tokens", "known", "base", "hmm", "tail"])
 
     return run
 
