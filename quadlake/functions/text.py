@@ -52,6 +52,12 @@ def tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[._]+"), lambda x: x != ""))
 
 
+def split_identifier(name: Column) -> Column:
+    """Parts of a name at dots, underscores and where a capital follows something else, in lower case and in order."""
+    marked = F.regexp_replace(name, r"(?<=[^\p{Lu}._])(?=\p{Lu})", "_")
+    return F.transform(F.filter(F.split(marked, "[._]"), lambda x: x != ""), F.lower)
+
+
 def valid_entity(text: Column) -> Column:
     """Not blank, under 200 code points and under 15 words."""
     body = F.trim(text)

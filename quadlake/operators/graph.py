@@ -62,3 +62,24 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
         edge = cut(near.join(seen, "node", "left_anti").withColumn("hop", F.lit(h).cast("long")))
         seen = seen.unionByName(edge)
     return seen
+
+
+def stats(edges: DataFrame, strong: float = 0.7, clear: float = 0.3) -> DataFrame:
+    """One row of figures on the edges (source, target, confidence): files, edges, strong edges, whether strong edges form
+    a cycle, components, and pairs of files without an edge of ``clear`` confidence (counted, not listed)."""
+    edges = cut(edges)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    e = edges.where(F.col("confidence") > strong).select("source", "target")
+    at = layers(e)
+    inside = e.join(at.select(F.col("node").alias("source"), F.col("layer").alias("ls")), "source").join(at.select(F.col("node").alias("target"), F.col("layer").alias("lt")), "target").where("ls = lt")
+    parts = connected_components(edges.select("source", "target"), nodes)
+    sure = edges.where((F.col("confidence") >= clear) & (F.col("source") != F.col("target"))).select(F.least("source", "target"), F.greatest("source", "target")).distinct()
+    n = nodes.count()
+    return edges.agg(
+        F.lit(n).cast("long").alias("n_files"),
+        F.count("*").alias("n_edges"),
+        F.count_if(F.col("confidence") > strong).alias("n_strong"),
+        F.lit(not inside.isEmpty()).alias("has_cycle"),
+        F.lit(parts.select("component").distinct().count()).cast("long").alias("n_components"),
+        F.lit(n * (n - 1) // 2 - sure.count()).cast("long").alias("n_ambiguous_pairs"),
+    )
