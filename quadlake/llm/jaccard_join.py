@@ -47,9 +47,9 @@ NUM, DEN = 75, 100
 #: A shingle in more classes than this is frequent.
 FREQUENT = 100
 #: Packed tokens are flushed at this many, and a bucket gets about BUCKET of them.
-FLUSH, BUCKET = 1_000_000, 250_000
+FLUSH, BUCKET = 500_000, 250_000
 #: Rounds of comparisons with pivots, and tokens in a block of what they leave.
-ROUNDS, BLOCK = 4, 100_000
+ROUNDS, BLOCK = 3, 100_000
 
 
 def _least(n, num: int = NUM, den: int = DEN):
@@ -308,10 +308,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = texts.mapInArrow(_sets(words, 1, True), "row long, n long, node long, hashes array<long>")
     sets = runtime.cut(sets.join(runtime.small(alive.select("row", "node"), n_alive), ["row", "node"]).select("node", "n", "hashes"))
 
-    posted = sets.select("node", "n", F.explode("hashes").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posted = posted.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("p"))
-    posted = posted.where(F.size("p") >= least).select("node", "n", F.col("p.token").alias("tokens"), F.col("p.df").alias("dfs"))
+    posted = sets.select("node", F.explode("hashes").alias("token"))
+    often = posted.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    posted = posted.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("p"))
+    posted = posted.join(runtime.small(alive.select("node", "n"), n_alive), "node").where(F.size("p") >= least).select("node", "n", F.col("p.token").alias("tokens"), F.col("p.df").alias("dfs"))
     sigs = runtime.cut(posted.mapInArrow(_signatures, "sig long, node long, n long"))
     links = _links(sets, sigs)
     label = runtime.components(links)

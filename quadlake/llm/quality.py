@@ -237,9 +237,11 @@ def _both(column: int, names: list[str]):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``; all columns stay.
 
-    Only labelled rows are measured to fit the rules; then all rows are measured once."""
-    marked = labels.where("quality is not null").select("doc_id").distinct()
-    bias, rules = learn(measured(docs.select("doc_id", "text").where(_remainder() != 0).join(marked, "doc_id", "left_semi")), labels)
+    Only the sampled rows are measured to fit the rules (SAMPLE ids at most are sent to find them); then all rows are
+    measured once."""
+    marked = labels.where("quality is not null").select("doc_id", "quality")
+    ids = docs.select("doc_id").where(_remainder() != 0).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "quality").limit(SAMPLE).select("doc_id").distinct()
+    bias, rules = learn(measured(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")), labels)
     names = [runtime.fresh(docs.columns, f"__q_{f}") for f in FEATURES]
     schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *(f"`{n}` double" for n in names)])
     wide = docs.mapInArrow(_both(docs.columns.index("text"), names), schema)
