@@ -15,7 +15,7 @@ BROADCAST_ROWS = 500_000
 def tune(spark: SparkSession) -> None:
     """Arrow batches small enough for two Python workers beside an executor's heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
