@@ -35,14 +35,15 @@ def standard_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.join(local, "line", "left").withColumn("standard", F.col("__top") & F.col("__local").isNull()).drop("__top", "__names", "__local")
 
 
-def find_modules(wanted: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module, file) of the dotted paths in ``wanted`` (module): itself, else its last part, else its longest suffix
-    that is a module of ``modules`` (module, file); null where none is."""
+def find_modules(wanted: DataFrame, modules: DataFrame, *by: str) -> DataFrame:
+    """(*by, module, file) of the dotted paths in ``wanted`` (*by, module): itself, else its last part, else its longest
+    suffix that is a module of ``modules`` (*by, module, file); null where none is."""
     parts = F.split("module", r"\.")
     ways = F.concat(F.array("module", F.element_at(parts, -1)), F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>")))
-    each = wanted.distinct().where("module <> ''").select("module", F.posexplode(ways).alias("way", "at"))
-    hit = each.join(modules.select(F.col("module").alias("at"), "file"), "at").groupBy("module").agg(F.min_by("file", "way").alias("file"))
-    return wanted.distinct().join(hit, "module", "left")
+    asked = wanted.select(*by, "module").distinct()
+    each = asked.where("module <> ''").select(*by, "module", F.posexplode(ways).alias("way", "at"))
+    hit = each.join(modules.select(*by, F.col("module").alias("at"), "file"), [*by, "at"]).groupBy(*by, "module").agg(F.min_by("file", "way").alias("file"))
+    return asked.join(hit, [*by, "module"], "left")
 
 
 def match_files(wanted: DataFrame, files: DataFrame) -> DataFrame:

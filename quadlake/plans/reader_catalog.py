@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadlake.functions import text as X
 from quadlake.functions.session import work_dir
-from quadlake.operators import evaluation, file_order, graph, lookups
+from quadlake.operators import evaluation, file_order, graph, lookups, symbol_tables
 from quadlake.operators.naming import aliases
 from quadlake.plans.catalog import _MERGED, _PATHS, _merged, _paths, query
 from quadlake.plans.code_catalog import _EDGES, _edges
@@ -492,3 +492,47 @@ def j12_extends_edges(spark, sf):
 @query(f"WITH {_FILE_QUADS} SELECT 'test_' || home AS source, home AS target, CAST(1 AS BIGINT) AS n_evidence, CAST(0.5 AS DOUBLE) AS confidence, 'heuristic' AS edge_type FROM h")
 def j13_test_edges(spark, sf):
     return _dependencies(spark, sf, "contains_file").where("edge_type = 'heuristic'")
+
+
+# --- symbol tables: three modules a region in a chain of re-exports, one of them read too early
+
+
+def _exporting(spark, sf):
+    """(files, modules): in region r, api re-exports base, late takes it from api, and early too but comes before api."""
+    r = table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("r"))
+    bodies = {"base": "class Base%1$s:\n    pass\n\nLIMIT%1$s = 3\n", "api": "from .base%1$s import *\nfrom .base%1$s import Base%1$s\n", "late": "from .api%1$s import Base%1$s\n", "early": "from .api%1$s import Base%1$s, gone%1$s\n"}
+    order = {"early": 0, "api": 1, "base": 2, "late": 3}
+    files = None
+    for name, body in bodies.items():
+        one = r.select(F.lit("w").alias("repo"), F.concat(F.lit(f"{name}"), "r", F.lit(".py")).alias("path"), F.lit(order[name]).alias("seq"), F.format_string(body, "r").alias("text"), F.concat(F.lit(name), "r").alias("module"))
+        files = one if files is None else files.unionByName(one)
+    return files, files.select("repo", "module", F.col("path").alias("file"))
+
+
+_TABLES = """r AS (SELECT r_regionkey AS r FROM region), t AS (
+  SELECT 'base' || r || '.py' AS path, 'Base' || r AS name, 'defined' AS kind, 'base' || r || '.py' AS defined_in FROM r UNION ALL SELECT 'base' || r || '.py', 'LIMIT' || r, 'defined', 'base' || r || '.py' FROM r
+  UNION ALL SELECT 'api' || r || '.py', 'Base' || r, 're_exported', 'base' || r || '.py' FROM r UNION ALL SELECT 'api' || r || '.py', 'LIMIT' || r, 're_exported', 'base' || r || '.py' FROM r
+  UNION ALL SELECT 'late' || r || '.py', 'Base' || r, 're_exported', 'base' || r || '.py' FROM r
+  UNION ALL SELECT 'early' || r || '.py', 'Base' || r, 're_exported', 'api' || r || '.py' FROM r UNION ALL SELECT 'early' || r || '.py', 'gone' || r, 're_exported', 'api' || r || '.py' FROM r)"""
+
+
+@query(f"WITH {_TABLES} SELECT * FROM t")
+def r10_symbol_tables(spark, sf):
+    """Own and re-exported names with the file that defines them; tables are filled in the order of the files."""
+    files, modules = _exporting(spark, sf)
+    return symbol_tables.symbol_tables(files, modules).select("path", "name", "kind", "defined_in")
+
+
+@query("""SELECT n_nationkey AS n, CASE n_nationkey % 6 WHEN 0 THEN 'base' || n_regionkey || '.py' WHEN 1 THEN NULL WHEN 2 THEN 'base' || n_regionkey || '.py' WHEN 3 THEN 'api' || n_regionkey || '.py' WHEN 4 THEN NULL ELSE 'late' || n_regionkey || '.py' END AS target FROM nation""")
+def r12_import_targets(spark, sf):
+    """Import lines of a module for each nation: through re-exports, of the standard library, of a module, of nothing."""
+    files, modules = _exporting(spark, sf)
+    tables = symbol_tables.symbol_tables(files, modules)
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("r"), (F.col("n_nationkey") % 6).alias("k"))
+    lines = ("from .api%s import Base%s", "import os", "  from pkg.api%s import nothing, LIMIT%s", "import pkg.api%s", "from json import dumps", "from nowhere import x, late%s")
+    line = F.lit(None).cast("string")
+    for i, text in enumerate(lines):
+        line = F.when(F.col("k") == i, F.format_string(text.replace("%s", "%1$s"), "r")).otherwise(line)
+    asked = n.select("n_nationkey", F.lit("w").alias("repo"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), line.alias("line"))
+    found = symbol_tables.import_targets(asked.select("repo", "path", "line"), tables, modules)
+    return asked.join(found, ["repo", "path", "line"]).select(F.col("n_nationkey").alias("n"), "target")
