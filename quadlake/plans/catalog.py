@@ -123,16 +123,6 @@ def p04_strong_edges(spark, sf):
     return _merged(spark, sf).where("confidence > 0.7").groupBy("source").agg(F.count("*").alias("n_strong"))
 
 
-@query(f"WITH {CALLS}, {_MERGED} SELECT a.file AS a, b.file AS b FROM f a JOIN f b ON a.file < b.file LEFT JOIN m x ON x.source = a.file AND x.target = b.file LEFT JOIN m y ON y.source = b.file AND y.target = a.file WHERE greatest(coalesce(x.confidence, 0), coalesce(y.confidence, 0)) < 0.9 AND greatest(coalesce(x.confidence, 0), coalesce(y.confidence, 0)) < 0.3")
-def t04_ambiguous_pairs(spark, sf):
-    """Pairs of files whose best edge either way is under 0.3; the pairs of all files are what is asked for."""
-    files = star.definitions(spark, sf).select("file").distinct()
-    m = _merged(spark, sf)
-    best = m.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "confidence").groupBy("a", "b").agg(F.max("confidence").alias("c"))
-    pairs = files.select(F.col("file").alias("a")).join(files.select(F.col("file").alias("b")), F.col("a") < F.col("b"))
-    return pairs.join(best, ["a", "b"], "left").where("coalesce(c, 0) < 0.3").select("a", "b")
-
-
 @query(f"WITH {DEFS}, {CALLS} SELECT (SELECT count(DISTINCT file) FROM d) AS files, (SELECT count(*) FROM d) AS definitions, count(*) AS call_edges, count(*) FILTER (condition = 'resolved') AS resolved_call_edges FROM c")
 def g01_graph_stats(spark, sf):
     d = star.definitions(spark, sf).agg(F.countDistinct("file").alias("files"), F.count("*").alias("definitions"))
@@ -265,15 +255,6 @@ def t05_components(spark, sf):
     return graph.connected_components(e, nodes)
 
 
-@query(f"WITH {QUADS} SELECT false AS has_cycle, count(DISTINCT n) AS nodes FROM (SELECT subject AS n FROM q UNION ALL SELECT object FROM q)")
-def t06_has_cycle(spark, sf):
-    """Peeling leaves nodes over only if there is a cycle; then their layer has an edge within it."""
-    e = star.quads(spark, sf).select(F.col("subject").alias("source"), F.col("object").alias("target"))
-    at = graph.layers(e)
-    inside = e.join(at.select(F.col("node").alias("source"), F.col("layer").alias("ls")), "source").join(at.select(F.col("node").alias("target"), F.col("layer").alias("lt")), "target").where("ls = lt")
-    return at.agg(F.count("*").alias("nodes")).crossJoin(inside.agg((F.count("*") > 0).alias("has_cycle")))
-
-
 @query(f"WITH {QUADS}, e AS (SELECT subject AS a, object AS b FROM q UNION SELECT object, subject FROM q), h1 AS (SELECT DISTINCT b AS n FROM e WHERE a = 'region:0'), h2 AS (SELECT DISTINCT e.b AS n FROM h1 JOIN e ON e.a = h1.n WHERE e.b <> 'region:0' AND e.b NOT IN (SELECT n FROM h1)) SELECT 'region:0' AS node, CAST(0 AS BIGINT) AS hop UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2")
 def n08_two_hops(spark, sf):
     """Everything within two undirected steps of a region."""
@@ -333,10 +314,15 @@ def k15_token_estimates(spark, sf):
 
 @query("WITH r AS (SELECT doc_id, source, (n_chars + 3) // 4 AS t, sum((n_chars + 3) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) SELECT source, count(*) AS n_kept, CAST(sum(t) AS BIGINT) AS tokens FROM r WHERE run <= 4000 GROUP BY source")
 def k13_prefix_budget(spark, sf):
-    """The first documents of each source within a budget of tokens."""
+    """The first documents of each source within a budget of tokens.
+
+    Sums of blocks of ids come first, so only blocks that begin within the budget are summed row by row."""
     t = F.floor((F.col("n_chars") + 3) / 4).cast("long")
-    run = F.sum("t").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    d = table(spark, sf, "documents").select("doc_id", "source", t.alias("t")).withColumn("run", run).where("run <= 4000")
+    d = table(spark, sf, "documents").select("doc_id", "source", t.alias("t"), F.floor(F.col("doc_id") / 1000).alias("block"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = d.groupBy("source", "block").agg(F.sum("t").alias("s")).withColumn("before", before).where("before <= 4000").drop("s")
+    run = F.col("before") + F.sum("t").over(Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.join(blocks, ["source", "block"]).withColumn("run", run).where("run <= 4000")
     return d.groupBy("source").agg(F.count("*").alias("n_kept"), F.sum("t").alias("tokens"))
 
 

@@ -177,10 +177,14 @@ def v08_edge_lines(spark, sf):
 
 @query("WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, doc_id, CASE WHEN k > 40 THEN 'omitted' WHEN text IS NULL THEN 'unreadable' ELSE 'indexed' END AS status FROM r")
 def s03_indexed_documents(spark, sf):
-    """Documents of a repository in order, up to its number of files, and what became of the rest."""
+    """Documents of a repository in order, up to its number of files, and what became of the rest.
+
+    Spark limits every repository to its first files before the shuffle; only those are numbered."""
     k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    r = table(spark, sf, "documents").select("source", "doc_id", F.col("text").isNull().alias("gone")).withColumn("k", k)
-    return r.select("source", "doc_id", F.when(F.col("k") > 40, "omitted").when(F.col("gone"), "unreadable").otherwise("indexed").alias("status"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.col("text").isNull().alias("gone"))
+    first = d.select("source", "doc_id").withColumn("k", k).where("k <= 40").select("source", "doc_id", F.lit(True).alias("kept"))
+    r = d.join(first, ["source", "doc_id"], "left")
+    return r.select("source", "doc_id", F.when(F.col("kept").isNull(), "omitted").when(F.col("gone"), "unreadable").otherwise("indexed").alias("status"))
 
 
 @query("SELECT page_id, left(array_to_string(string_split(html, chr(10))[3:11], chr(10)), 420) AS excerpt FROM pages")
@@ -232,11 +236,11 @@ def j16_cross_document_edges(spark, sf):
     return q.groupBy("relation").agg(F.count("*").alias("n")).join(cross, "relation", "left").select("relation", "n", F.coalesce("c", F.lit(0)).alias("n_cross"))
 
 
-@query("SELECT c.c_custkey, n.n_name AS nation FROM customer c LEFT JOIN nation n ON lower(n.n_name) = lower((SELECT m.n_name FROM nation m WHERE m.n_nationkey = c.c_nationkey))")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN n_name END AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def j18_recased_names(spark, sf):
-    """Predicted names brought back to the case of the known ones."""
+    """Predicted names, in another case or unknown, brought back to the case of the known ones."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    said = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.upper("n_name").alias("said"))
+    said = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.upper("n_name")).when(F.col("c_custkey") % 3 == 1, F.lower("n_name")).otherwise(F.concat("n_name", F.lit("_"))).alias("said"))
     known = n.select(F.lower("n_name").alias("low"), F.col("n_name").alias("nation"))
     return said.withColumn("low", F.lower("said")).join(known, "low", "left").select("c_custkey", "nation")
 

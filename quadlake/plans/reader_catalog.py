@@ -303,9 +303,35 @@ _THIN = "t AS (SELECT p_brand AS source, arg_min(q, k) AS target, CASE WHEN min(
     (SELECT count(*) FROM n a JOIN n b ON a.x < b.x) - (SELECT count(*) FROM (SELECT DISTINCT least(source, target), greatest(source, target) FROM t WHERE confidence >= 0.3)) AS n_ambiguous_pairs""")
 def g02_dependency_stats(spark, sf):
     """Counts of a thin graph of brands, with cycles of strong edges, components, and pairs without a clear edge."""
+    return graph.stats(_thin(spark, sf))
+
+
+def _thin(spark, sf):
+    """One edge from each brand: to the brand of the part after its first one with another brand after it."""
     p = table(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("k"), F.lead("p_brand").over(Window.orderBy("p_partkey")).alias("q")).where("q <> source")
     e = p.groupBy("source").agg(F.min_by("q", "k").alias("target"), F.min("k").alias("k")).select("source", "target", F.when(F.col("k") % 2 == 0, 0.8).otherwise(0.2).alias("confidence"))
-    return graph.stats(e)
+    return e
+
+
+@query(f"WITH {_THIN}, n AS (SELECT source AS x FROM t UNION SELECT target FROM t), s AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM t WHERE confidence >= 0.3) SELECT u.x AS a, v.x AS b FROM n u JOIN n v ON u.x < v.x ANTI JOIN s ON s.a = u.x AND s.b = v.x")
+def t04_ambiguous_pairs(spark, sf):
+    """Pairs of files whose best edge either way is under 0.3; the pairs of all files are what is asked for."""
+    e = _thin(spark, sf)
+    n = e.select(F.explode(F.array("source", "target")).alias("x")).distinct()
+    sure = e.where("confidence >= 0.3").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    return n.select(F.col("x").alias("a")).join(n.select(F.col("x").alias("b")), F.col("a") < F.col("b")).join(sure, ["a", "b"], "left_anti")
+
+
+@query(f"""WITH RECURSIVE {_THIN}, r AS (SELECT source, target FROM t UNION SELECT r.source, t.target FROM r JOIN t ON r.target = t.source),
+  f AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation), q AS (SELECT source, target FROM f UNION SELECT q.source, f.target FROM q JOIN f ON q.target = f.source)
+  SELECT 'brands' AS graph, (SELECT count(*) > 0 FROM r WHERE source = target) AS has_cycle UNION ALL SELECT 'nations', (SELECT count(*) > 0 FROM q WHERE source = target)""")
+def t06_has_cycle(spark, sf):
+    """Whether edges form a cycle: one edge from every brand must, nations and their regions do not."""
+    n = table(spark, sf, "nation")
+    tree = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target"))
+    both = ((name, graph.stats(e.withColumn("confidence", F.lit(1.0))).select(F.lit(name).alias("graph"), "has_cycle")) for name, e in (("brands", _thin(spark, sf).select("source", "target")), ("nations", tree)))
+    (_, a), (_, b) = both
+    return a.unionByName(b)
 
 
 # --- evaluation
