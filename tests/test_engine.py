@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from quadlake.operators import graph, triples
-from quadlake.plans import catalog, code_catalog, file_catalog, reader_catalog  # noqa: F401
+from quadlake.plans import catalog, code_catalog, file_catalog, reader_catalog, store_catalog  # noqa: F401
 from quadlake.plans.rules import Rule, derive
 
 SF = "/root/testdata/sf0.001"
