@@ -119,7 +119,7 @@ _PARTS = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'),
 
 
 @query(f"""WITH q AS (SELECT t AS request, unnest({_PARTS.format('t')}) AS w FROM (SELECT DISTINCT p_type AS t FROM part)),
-  f AS (SELECT p_brand, p_partkey, unnest({_PARTS.format('p_name')}) AS w, 3 AS v FROM part UNION ALL SELECT p_brand, p_partkey, unnest({_PARTS.format('p_type')}), 2 FROM part UNION ALL SELECT p_brand, p_partkey, unnest({_PARTS.format('p_container')}), 1 FROM part),
+  f AS (SELECT p_brand, p_partkey, unnest({_PARTS.format('p_name')}) AS w, 3 AS v FROM part UNION ALL SELECT p_brand, p_partkey, unnest({_PARTS.format('p_type')}), 2 FROM part UNION ALL SELECT p_brand, p_partkey, unnest([p_size::VARCHAR]), 1 FROM part),
   s AS (SELECT request, p_brand AS path, p_partkey AS line, sum(v)::BIGINT AS score FROM q JOIN f USING (w) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, path, line) AS pos FROM s) SELECT * FROM r WHERE pos <= 12""")
 def k10_retrieved_functions(spark, sf):
     """The 12 parts that fit each type best, as functions found by their description."""
