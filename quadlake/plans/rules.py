@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = ("subject", "relation", "object", "condition")
@@ -72,6 +72,57 @@ def derive(quads: DataFrame, rules: list[Rule], cap: int | None = None) -> DataF
     return first.select(*SLOTS, name.alias("rule"), value.alias("confidence"), (value >= STRONG).alias("strong"))
 
 
+def _apart(a: Rule, b: Rule) -> bool:
+    """Whether no fact can come from both: some slot of their heads holds different literals."""
+    return a.name != b.name and any(x != y and not x.startswith("?") and not y.startswith("?") for x, y in zip(a.head, b.head, strict=True))
+
+
+def _several(rows: DataFrame, ends: list[str]) -> DataFrame:
+    """The rows of those values of ``ends`` that have more than one."""
+    n = rows.groupBy(*[F.col(c).alias(f"{c}?") for c in ends]).agg(F.count("*").alias("?n")).where(F.col("?n") > 1)
+    return rows.join(n, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}?")) for c in ends], F.lit(True)), "left_semi")
+
+
+def _counts(quads: DataFrame, rule: Rule) -> DataFrame:
+    """One row (n_facts, n_subjects): distinct heads of a rule of two atoms or more, and their distinct subjects.
+
+    The last atom is one side, what matches the others is the other. For each value of the variables they share, the
+    rows of the sides are counted and the counts multiplied. A head is met more often than once only if it has several
+    of those values on both sides; such heads alone are written out, and what was counted too often is taken off."""
+    head = {t[1:] for t in rule.head if t.startswith("?")}
+    sides = [match(quads, Rule(rule.name, atoms, rule.head)) for atoms in (rule.pattern[:-1], rule.pattern[-1:])]
+    keys = [c for c in sides[1].columns if c in sides[0].columns]
+    if not keys:
+        keys, sides = ["?"], [x.withColumn("?", F.lit(0)) for x in sides]
+    sides = [x.select(*[c for c in x.columns if c in head or c in keys]).dropna(subset=keys).distinct() for x in sides]
+    ends = [[c for c in x.columns if c in head] for x in sides]
+    ways = [x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in zip(sides, ("?a", "?b"), strict=True)]
+    out = ways[0].join(ways[1], keys).agg(F.coalesce(F.sum(F.col("?a") * F.col("?b")), F.lit(0)).alias("n_facts"))
+    if not any(set(keys) <= set(e) for e in ends):
+        again = _several(sides[0], ends[0]).join(_several(sides[1], ends[1]), keys).groupBy(*sorted(head)).agg((F.count("*") - 1).alias("?n"))
+        out = out.crossJoin(again.agg(F.coalesce(F.sum("?n"), F.lit(0)).alias("?n"))).select((F.col("n_facts") - F.col("?n")).alias("n_facts"))  # one row each
+    if not rule.head[0].startswith("?"):
+        return out.withColumn("n_subjects", F.when(F.col("n_facts") > 0, 1).otherwise(0).cast("long"))
+    subject = rule.head[0][1:]
+    own, other = sides if subject in sides[0].columns else sides[::-1]
+    return out.crossJoin(own.join(other, keys, "left_semi").agg(F.countDistinct(subject).alias("n_subjects")))
+
+
+def tally(quads: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, strong, confidence, n_facts, n_subjects): how many facts of :func:`derive` each rule has, and on how many
+    subjects; rules without a fact have no row.
+
+    The facts of a rule of several atoms whose head meets no other rule's are counted without being written out."""
+    live = [r for r in rules if not any(t.startswith("?") and t not in {u for a in r.pattern for u in a} for t in r.head)]
+    written = lambda r: len(r.pattern) < 2 or "?_" in r.head or not any(t.startswith("?") for t in r.head)
+    alone = [i for i, r in enumerate(live) if not written(r) and all(i == j or _apart(r, s) for j, s in enumerate(live))]
+    facts = derive(quads, [r for i, r in enumerate(live) if i not in alone])
+    parts = [facts.groupBy("rule", "strong", "confidence").agg(F.count("*").alias("n_facts"), F.countDistinct("subject").alias("n_subjects"))]
+    for r in (live[i] for i in alone):
+        parts.append(_counts(quads, r).where("n_facts > 0").select(F.lit(r.name).alias("rule"), F.lit(r.confidence >= STRONG).alias("strong"), F.lit(float(r.confidence)).alias("confidence"), "n_facts", "n_subjects"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
