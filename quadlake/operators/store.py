@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadlake.functions.session import cut
@@ -28,20 +28,37 @@ def best_shards(batches: DataFrame, shards: DataFrame, held: DataFrame, capacity
     """(batch, shard) of batches (batch, entity): of the shards with room and below the target density, the one that
     holds most of the batch's entities, then most entities, then the first by name; null where a new one is needed.
 
-    Only shards that share an entity are joined to a batch. For the rest the size of the batch decides, so sizes are
-    matched with counts of entities, both below ``capacity``, which may be 1,000 at most."""
+    Of a batch's entities, the one that most shards hold is looked up by itself: among its holders only the fullest with
+    room counts, so one row for each such entity and size of batch. A shard that holds another entity of the batch too
+    weighs more, and is found through that one, as are all shards that hold it. For the rest the size of the batch
+    decides, so sizes are matched with counts of entities, both below ``capacity``, which may be 1,000 at most."""
     if capacity > 1000:
         raise ValueError("a shared entity must weigh more than a full shard: capacity is 1,000 at most")
-    b = batches.select("batch", "entity").distinct()
-    size = b.groupBy("batch").agg(F.count("*").alias("size"))
-    free = shards.where(F.col("density") < target).where(F.col("n_entities") < capacity)
-    shared = b.join(held, "entity").groupBy("batch", "shard").agg(F.count("*").alias("overlap"))
-    known = shared.join(size, "batch").join(free, "shard").where(F.col("n_entities") + F.col("size") - F.col("overlap") < capacity)
-    known = known.groupBy("batch").agg(F.min_by("shard", F.struct(-(F.col("overlap") * 1000 + F.col("n_entities")), "shard")).alias("known"))
-    fullest = free.groupBy("n_entities").agg(F.min("shard").alias("shard"))  # below `capacity` rows, as the sizes are
-    room = size.select("size").distinct().where(F.col("size") < capacity).join(F.broadcast(fullest), F.col("n_entities") + F.col("size") < capacity)
+    free = shards.where(F.col("density") < target).where(F.col("n_entities") < capacity).select("shard", "n_entities")
+    rows = cut(free.join(held.select("entity", "shard"), "shard", "left"))  # read in all that follows
+    free, held = rows.select("shard", "n_entities").distinct(), rows.where("entity is not null")
+    n = held.groupBy("entity").agg(F.count("*").alias("holders"))
+    batch = Window.partitionBy("batch")
+    common = batch.orderBy(F.desc("holders"), "entity")
+    each = batches.select("batch", "entity").distinct().join(n, "entity", "left").select("batch", "entity", "holders", F.count("*").over(batch).alias("size"), F.row_number().over(common).alias("k"), F.first("entity").over(common).alias("common"))
+    weight = lambda overlap: F.struct((-(overlap * 1000 + F.col("n_entities"))).alias("weight"), "shard")
+    fits = lambda overlap: F.col("n_entities") + F.col("size") - overlap < capacity
+
+    one = each.where("k = 1").select("batch", "common", "size")
+    fullest = held.groupBy(F.col("entity").alias("common"), "n_entities").agg(F.min("shard").alias("shard"))
+    by_common = one.select("common", "size").distinct().join(fullest, "common").where(fits(F.lit(1))).groupBy("common", "size").agg(F.min(weight(F.lit(1))).alias("by_common"))
+    rest = each.where("k > 1 and holders is not null").join(held, "entity").groupBy("batch", "common", "size", "shard", "n_entities").agg(F.count("*").alias("n"))
+    rest = rest.join(held.select(F.col("entity").alias("common"), "shard", F.lit(1).alias("too")), ["common", "shard"], "left")
+    overlap = F.col("n") + F.coalesce("too", F.lit(0))
+    by_rest = rest.where(fits(overlap)).select("batch", "common", "size", weight(overlap).alias("by_rest"))
+    # a union and no join: a join's filter on batch would have all that leads to each batch's entities read twice
+    found = one.unionByName(by_rest, allowMissingColumns=True).groupBy("batch", "common", "size").agg(F.min("by_rest").alias("by_rest"))
+
+    sized = free.groupBy("n_entities").agg(F.min("shard").alias("shard"))  # below `capacity` rows, as the sizes are
+    room = one.select("size").distinct().where(F.col("size") < capacity).join(F.broadcast(sized), fits(F.lit(0)))
     room = room.groupBy("size").agg(F.min_by("shard", F.struct(-F.col("n_entities"), "shard")).alias("other"))
-    return size.join(known, "batch", "left").join(F.broadcast(room), "size", "left").select("batch", F.coalesce("known", "other").alias("shard"))
+    out = found.join(by_common, ["common", "size"], "left").join(F.broadcast(room), "size", "left")
+    return out.select("batch", F.coalesce(F.least("by_common", "by_rest")["shard"], F.col("other")).alias("shard"))
 
 
 def fold(batches: list[list[tuple[str, str]]], capacity: int = CAPACITY, target: float = DENSITY) -> list[int]:

@@ -32,7 +32,7 @@ _ROOM, _TARGET = 527, 0.02
   SELECT a.batch, w.shard FROM (SELECT DISTINCT batch FROM b) a LEFT JOIN w ON w.batch = a.batch AND w.i = 1""")
 def k06_best_shards(spark, sf):
     """The shard each customer and each part would go to."""
-    q = _sharded(spark, sf)
+    q = _sharded(spark, sf).select("shard", "subject", "object").repartition("shard")  # dealt once, for the sizes and the index
     name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
     c = table(spark, sf, "customer").select(name("c", "c_custkey").alias("batch"), F.explode(F.array(name("customer:", "c_custkey"), name("nation:", "c_nationkey"))).alias("entity"))
     p = table(spark, sf, "part").select(name("p", "p_partkey").alias("batch"), F.explode(F.array(name("part:", "p_partkey"), F.col("p_brand"))).alias("entity"))

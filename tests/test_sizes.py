@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quadlake.operators import store
 from quadlake.plans import catalog
 from quadlake.plans.rules import Rule, derive, tally
 
@@ -81,3 +82,38 @@ def test_tally_of_rules_that_meet(spark):
     second = Rule("second", RULES["pair"].pattern, ("?a", "pair", "?b", "x"), 0.4)
     rows = tally(q, [RULES["pair"], RULES["back"], second]).collect()
     assert {(r.rule, r.n_facts, r.n_subjects) for r in rows} == {("pair", 2, 1), ("back", 2, 2)}
+
+
+def _placed(batches, shards, held, capacity, target):
+    """Every shard looked at for every batch."""
+    out = {}
+    for batch in {b for b, _ in batches}:
+        own, found = {e for b, e in batches if b == batch}, []
+        for shard, n, density in shards:
+            overlap = len({e for e in own if e is not None and (e, shard) in held})
+            if density < target and n < capacity and n + len(own) - overlap < capacity:
+                found.append((-(overlap * 1000 + n), shard))
+        out[batch] = min(found)[1] if found else None
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_shards_equal_plain_search(spark, seed):
+    draw = random.Random(seed)
+    shards = [(f"s{i:02}", draw.randint(1, 13), draw.choice([0.1, 0.1, 0.4])) for i in range(16)]
+    names = [f"e{i}" for i in range(14)]
+    held = [(e, s) for s, _, _ in shards for e in names if draw.random() < (0.8 if e in names[:3] else 0.15)]
+    batches = [(b, draw.choice([None, "new", *names, *names[:3]])) for b in range(120) for _ in range(draw.choice([1, 2, 2, 3, 5, 12]))]
+    batches += [(b, f"only{i}") for b, n in ((200, 1), (201, 9), (202, 13), (203, 30)) for i in range(n)] + [(204, "e0")] * 2
+    got = store.best_shards(spark.createDataFrame(batches, "batch long, entity string"), spark.createDataFrame(shards, "shard string, n_entities long, density double"), spark.createDataFrame(held, "entity string, shard string"), 12, 0.3).collect()
+    assert len(got) == len({b for b, _ in batches})
+    assert {r.batch: r.shard for r in got} == _placed(batches, shards, set(held), 12, 0.3)
+
+
+def test_best_shards_do_not_pair_batches_with_all_holders(spark):
+    """Each batch has an entity of its own, held by its own shard, and one that all 400 shards hold."""
+    n = spark.range(400)
+    shards = n.select(F.col("id").cast("string").alias("shard"), F.lit(5).cast("long").alias("n_entities"), F.lit(0.1).alias("density"))
+    pairs = n.select(F.col("id").cast("string").alias("batch"), F.explode(F.array(F.concat(F.lit("own"), "id"), F.lit("all"))).alias("entity"))
+    rows, most = made(store.best_shards(pairs, shards, pairs.select("entity", F.col("batch").alias("shard")), 100, 0.3))
+    assert all(r.batch == r.shard for r in rows) and len(rows) == 400 and most < 5_000
